@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verilume.llm import bpe, minhash, quality_rules, sharding
+from verilume.llm import bpe, language_model, minhash, quality_rules, sharding
 from verilume.llm.common import table
 
 
@@ -31,13 +31,18 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = language_model.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.drop("text_hash")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.verdicts(table(spark, sf_dir, "documents"))
     return out.select("doc_id", *quality_rules.COUNTS, "base_failed", "distance", "kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op6_minhash, op7_bpe, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_sharding, op6_minhash, op7_bpe, op9_quality_classifier, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
