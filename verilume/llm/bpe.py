@@ -28,7 +28,9 @@ from verilume.llm.common import map_texts
 
 WINDOW, MASK_BITS = 16, 11
 #: Bounds of a worker's memory: entries of each dictionary generation (words, bare words), bytes of the chunk store.
-MAX_WORDS, MAX_BARE, MAX_STORE = 150_000, 250_000, 48 << 20
+MAX_WORDS, MAX_BARE, MAX_STORE = 80_000, 150_000, 16 << 20
+#: Bytes of text at a time.
+BATCH = 1 << 20
 #: Punctuation that a word may end with; each run of it is one pre-token.
 TAIL = b".,!|%$#*&;:?"
 
@@ -216,7 +218,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         ids = worker(path).encode(*textnum.text_bytes(batch.column("text")))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return map_texts(docs.select("doc_id", "text"), run, "doc_id long, ids binary")
+    return map_texts(docs.select("doc_id", "text"), run, "doc_id long, ids binary", limit=BATCH)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -230,7 +232,18 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded string")
 
 
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids and decoded of each whole text: encode and decode in one pass, so that a task needs one Python worker."""
+
+    def run(batch: pa.RecordBatch):
+        coder = worker(path)
+        ids = coder.encode(*textnum.text_bytes(batch.column("text")))
+        texts = pa.array([coder.decode(x) for x in ids], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary()), texts], ["doc_id", "ids", "decoded"])
+
+    return map_texts(docs.select("doc_id", "text"), run, "doc_id long, ids binary, decoded string", limit=BATCH)
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """Encode, decode, and name both results by their digests."""
-    both = decode(encode(docs, path), path)
-    return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
+    return round_trip(docs, path).select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))

@@ -36,14 +36,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, text: str = "text") -> DataFrame:
-    """mapInArrow over sub-batches of at most BATCH_BYTES of the column `text`."""
+def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, text: str = "text", limit: int = BATCH_BYTES) -> DataFrame:
+    """mapInArrow over sub-batches of at most `limit` bytes of the column `text`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 _, offs = textnum.text_bytes(batch.column(text))
-                for i, j in textnum.slices(offs, BATCH_BYTES):
+                for i, j in textnum.slices(offs, limit):
                     yield from fn(batch.slice(i, j - i))
 
     return df.mapInArrow(run, schema)

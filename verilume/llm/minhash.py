@@ -9,7 +9,8 @@ pivot to every other member, and each edge is confirmed on the full sets.
 A star can miss a link between two members that are both too far from its pivot. After two rounds of stars (the
 smallest member, then a pseudo-random member per bucket) the buckets that still hold several components are settled
 exactly: a shingle that no other component has cannot count towards a link, so a class whose remaining shingles
-are too few to reach the threshold has no open link and goes; pairs are then formed among the few that are left.
+are too few to reach the threshold has no open link and goes; pairs are then formed among the few that are left, where
+the remaining shingles of both sides suffice.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; null ids take part in links but
 never name a component unless every id in it is null (then the component's id is null and kept is false); repeated
@@ -175,12 +176,14 @@ def links(docs: DataFrame, signed: DataFrame, percent: int = 85, k: int = 5) ->
         labels = components(edges)
 
     rest = materialize(mixed(labels).select("bucket", "key", "n", "label"), "mixed")
-    parts = rest.select("key", "label").distinct().join(sets, "key").select("key", "label", F.explode("shingles").alias("s"))
-    across = parts.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("s")
-    open_ = parts.join(across, "s", "left_semi").groupBy("key").agg(F.count("*").alias("able"))
-    left = materialize(rest.join(open_, "key").filter(f"100 * able >= {percent} * n"), "open")
-    other = left.select("bucket", F.col("key").alias("pivot"), F.col("n").alias("pivot_n"), F.col("label").alias("pivot_label"))
-    pairs = left.join(other, "bucket").filter("key < pivot and label != pivot_label").filter(fits)
+    for _ in range(2):
+        parts = rest.select("key", "label").distinct().join(sets, "key").select("key", "label", F.explode("shingles").alias("s"))
+        across = parts.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("s")
+        open_ = parts.join(across, "s", "left_semi").groupBy("key").agg(F.count("*").alias("able"))
+        rest = materialize(rest.drop("able").join(open_, "key").filter(f"100 * able >= {percent} * n"), "open")
+    other = rest.select("bucket", F.col("key").alias("pivot"), F.col("n").alias("pivot_n"), F.col("label").alias("pivot_label"), F.col("able").alias("pivot_able"))
+    enough = F.expr(f"{100 + percent} * least(able, pivot_able) >= {percent} * (n + pivot_n)")
+    pairs = rest.join(other, "bucket").filter("key < pivot and label != pivot_label").filter(fits).filter(enough)
     pairs = materialize(_ordered(pairs.select(F.col("pivot").alias("a"), F.col("key").alias("b"))).join(tested, ["a", "b"], "left_anti"), "rest")
     more = materialize(_confirmed(pairs, sets, percent), "linked")
     if not more.isEmpty():
