@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verilume.llm import bpe, decontaminate, language_model, minhash, quality_rules, sharding
+from verilume.llm import bpe, decontaminate, language_model, licences, minhash, quality_rules, sharding
 from verilume.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = language_model.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.drop("text_hash")
@@ -46,8 +50,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op4_decontaminate, op6_minhash, op7_bpe, op9_quality_classifier, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_sharding, op4_decontaminate, op6_minhash, op7_bpe, op8_licences, op9_quality_classifier, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_licences": licences.scan_sql()}
