@@ -71,11 +71,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def logistic(columns: list[np.ndarray], toxic: np.ndarray, scale: np.ndarray, steps: int = 300, penalty: float = 1e-3) -> tuple[float, np.ndarray]:
-    """Bias and weights over presence times scale, by accelerated gradient descent; both classes weigh the same."""
+def logistic(columns: list[np.ndarray], toxic: np.ndarray, scale: np.ndarray, steps: int = 1500, penalty: float = 1e-5) -> tuple[float, np.ndarray]:
+    """Bias and weights over presence times scale, by accelerated gradient descent."""
     row = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
     col = np.concatenate(columns) if columns else np.zeros(0, np.int64)
-    share = np.where(toxic == 1, 0.5 / max(1, toxic.sum()), 0.5 / max(1, (1 - toxic).sum()))
+    share = np.full(len(toxic), 1 / max(1, len(toxic)))
     x = scale[col]
     norm = np.bincount(row, x * x, minlength=len(columns)).max(initial=0) + 1
     w, b = np.zeros(len(scale)), 0.0
