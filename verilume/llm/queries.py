@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verilume.llm import bpe, decontaminate, language_model, licences, minhash, quality_rules, sharding, toxicity
+from verilume.llm import bpe, decontaminate, html_text, language_model, licences, minhash, quality_rules, sharding, toxicity
 from verilume.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,7 +58,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_toxicity, op4_decontaminate, op6_minhash, op7_bpe, op8_licences, op9_quality_classifier, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_sharding, op2_html_text, op3_toxicity, op4_decontaminate, op6_minhash, op7_bpe, op8_licences, op9_quality_classifier, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
