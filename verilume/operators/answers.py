@@ -32,9 +32,9 @@ def references(answers: DataFrame, hits: DataFrame, key: str, fallback: int = 3)
     """(query_id, key, relevance, explanation): the hits (query_id, key, similarity, rank) that the answer (query_id, answer) names by
     0-based index; the first hits where it names none."""
     entries = answers.select("query_id", F.explode_outer(F.from_json(json_part("answer"), ANSWER)["references"]).alias("e"))
-    named = entries.select("query_id", trailing_index(first_of(F.col("e"), "index", "snippet_id", "id")).alias("_i"), first_of(F.col("e"), "explanation", "reason", "description").alias("explanation"), first_of(F.col("e"), "relevance_score", "relevance", "score").try_cast("double").alias("_r"))
-    found = hits.join(named, (hits["query_id"] == named["query_id"]) & (hits["rank"] == named["_i"] + 1)).select(hits["query_id"], key, unit(F.coalesce("_r", "similarity")).alias("relevance"), "explanation")
-    rest = hits.filter(F.col("rank") <= fallback).join(found.select("query_id").distinct(), "query_id", "left_anti").select("query_id", key, unit(F.col("similarity")).alias("relevance"), F.lit(None).cast("string").alias("explanation"))
+    named = entries.select(F.col("query_id").alias("_q"), trailing_index(first_of(F.col("e"), "index", "snippet_id", "id")).alias("_i"), first_of(F.col("e"), "explanation", "reason", "description").alias("explanation"), first_of(F.col("e"), "relevance_score", "relevance", "score").try_cast("double").alias("_r"))
+    found = hits.join(named, (F.col("query_id") == F.col("_q")) & (F.col("rank") == F.col("_i") + 1)).select("query_id", key, unit(F.coalesce("_r", "similarity")).alias("relevance"), "explanation")
+    rest = hits.filter(F.col("rank") <= fallback).join(found.select(F.col("query_id").alias("_q")).distinct(), F.col("query_id") == F.col("_q"), "left_anti").select("query_id", key, unit(F.col("similarity")).alias("relevance"), F.lit(None).cast("string").alias("explanation"))
     return found.unionByName(rest)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verilume.functions import text as tx
-from verilume.operators import answers, audit, chunking, retrieval, state, structure
+from verilume.operators import answers, audit, chunking, retrieval, state, structure, symbols
 from verilume.plans import sql
 
 QUERY_STEP = 20
@@ -471,6 +471,44 @@ def ans04_ans07_json_parts(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", answers.json_part(F.concat(F.lit("Sure: ```json"), "props", F.lit("``` done"))).alias("part"), answers.trailing_index(F.concat(F.lit("snippet_"), F.col("user_id").cast("string"))).alias("i"))
 
 
+# Code
+
+
+def _sources(spark, sf_dir):
+    code = F.concat(F.lit("def load_row"), F.col("doc_id"), F.lit("(path, n: int) -> str:\n    \"\"\"Load a matrix row.\"\"\"\n    if n:\n        return db.query(path)\n    return path\n"))
+    return read(spark, sf_dir, "documents").select(F.concat(F.lit("src/f"), F.col("doc_id"), F.lit(".py")).alias("relative_path"), F.lit("python").alias("language"), code.alias("content"))
+
+
+@query("""SELECT 'src/f' || doc_id || '.py:load_row' || doc_id || ':1' AS chunk_id, 'function' AS symbol_type, 'path,n' AS parameters, 'str' AS return_type, 'conditional' AS return_behavior, 'simple' AS complexity_tier, true AS is_pure, 'db.query' AS calls,
+'function load row ' || doc_id || ' in python file src/f' || doc_id || '.py. implements linear algebra. takes 2 parameters (path, n) and returns str. contains conditional logic, is a pure function. simple complexity. documentation: Load a matrix row.' AS search_text FROM documents""")
+def chk03_ast_symbols(spark, sf_dir):
+    d = symbols.described(symbols.symbols(_sources(spark, sf_dir)))
+    return d.select("chunk_id", "symbol_type", F.array_join("parameters", ",").alias("parameters"), "return_type", "return_behavior", "complexity_tier", "is_pure", F.array_join("external_calls", ",").alias("calls"), "search_text")
+
+
+@query()
+def chk04_symbol_chunks(spark, sf_dir):
+    return symbols.symbol_chunks(_sources(spark, sf_dir))
+
+
+@query("SELECT doc_id, 'load row ' || doc_id AS names, 'Load a matrix row' AS said FROM documents")
+def c2q05_c2q06_names(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("def load_row"), F.col("doc_id"), F.lit("(path):\n    \"\"\"Load a matrix row.\"\"\"\n")).alias("code"))
+    return d.select("doc_id", F.array_join(tx.definition_names("code"), ";").alias("names"), tx.first_sentence(tx.doc_comments("code")).alias("said"))
+
+
+@query()
+def c2q01_c2q08_search_queries(spark, sf_dir):
+    return _code(spark, sf_dir).select("doc_id", tx.search_query("content").alias("query"), F.array_join(tx.phrases("content"), "|").alias("phrases"))
+
+
+@query()
+def ans01_references(spark, sf_dir):
+    hits = lex02_lex03_bm25(spark, sf_dir).withColumnRenamed("score", "similarity")
+    said = hits.select("query_id").distinct().withColumn("answer", F.lit('Here: {"references": [{"snippet_id": "snippet_1", "relevance": "0.7", "reason": "same term"}], "summary": "s"}'))
+    return answers.references(said.filter("query_id % 40 = 0"), hits, "doc_id").unionByName(answers.references(said.filter("query_id % 40 != 0").withColumn("answer", F.lit("no json")), hits.filter("query_id % 40 != 0"), "doc_id"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid search: BM25 and cosine neighbours, fused by reciprocal rank."""
     return fus01_fus02_hybrid(spark, sf_dir)

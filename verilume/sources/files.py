@@ -18,7 +18,7 @@ def code_files(spark: SparkSession, root: str, codebase_id: str = "") -> DataFra
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", globs).load(root)
     base = root.rstrip("/").split("://")[-1]
     files = files.withColumn("relative_path", F.substring_index("path", base + "/", -1)).filter(is_code_file("relative_path"))
-    content = F.regexp_replace(F.decode(F.col("content"), "utf-8"), "�", "")
+    content = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))
     at = files.select(F.lit(codebase_id).alias("codebase_id"), "path", "relative_path", content.alias("content"))
     return at.withColumn("language", language("relative_path")).withColumn("line_count", line_count("content"))
 
@@ -29,8 +29,7 @@ def paper_files(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     kind = F.lower(F.substring_index("path", ".", -1))
     at = files.filter(kind.isin(*PAPER_EXTENSIONS) & (F.col("length") <= MAX_BYTES)).withColumn("source_type", F.when(kind == "pdf", "pdf").otherwise("text"))
-    utf8 = F.decode(F.col("content"), "utf-8")
-    text = F.when(F.contains(utf8, F.lit("�")), F.decode(F.col("content"), "iso-8859-1")).otherwise(utf8)
+    text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode(F.col("content"), "iso-8859-1"))
     return at.select("path", F.substring_index("path", "/", -1).alias("name"), "source_type", F.when(F.col("source_type") != "pdf", text).alias("content"), F.when(F.col("source_type") == "pdf", F.col("content")).alias("bytes"))
 
 
