@@ -25,6 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; only where it is unset (tests), a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found or _own.setdefault("dir", tempfile.mkdtemp(prefix="verilume-"))
 
 
