@@ -193,3 +193,26 @@ def test_stream_equals_batch(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out/postings")).select("doc_id", "term", "tf", "dl")
     want = retrieval.postings(d).select("doc_id", "term", "tf", "dl")
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_parsed_answers(spark):
+    said = spark.createDataFrame([(1, '```json [{"text": "t", "claim_type": "Nonsense", "expected_value": 3}, {"text": " "}] ```'), (2, None)], "query_id long, answer string")
+    assert [tuple(r) for r in answers.parsed_claims(said).collect()] == [(1, 0, "t", "other", [], "3")]
+    said = spark.createDataFrame([(1, '{"status": "Partial", "tier": "tier_2", "confidence": 3}'), (2, "no")], "query_id long, answer string")
+    assert [tuple(r)[:4] for r in answers.parsed_verdicts(said).orderBy("query_id").collect()] == [(1, "misaligned", 2, 1.0), (2, "unverified", 4, 0.5)]
+
+
+def test_fallback_and_records(spark):
+    found = spark.createDataFrame([(1, "a", 10, 1)], "claim_id long, chunk_id string, score int, rank int")
+    claims = spark.createDataFrame([(1,), (2,)], "claim_id long")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id long, embedding array<double>")
+    chunks = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.1, 1.0])], "chunk_id string, embedding array<double>")
+    got = audit.with_fallback(found, claims, asked, chunks, 1).collect()
+    assert sorted((r.claim_id, r.chunk_id) for r in got) == [(1, "a"), (2, "b")]
+    w = spark.createDataFrame([("data_leakage", "r", "f.py", 3, "x  y")], "category string, pattern_type string, relative_path string, line_start int, code_snippet string")
+    none = spark.createDataFrame([], "scope string, warning_type string, code_hash string, file_path string, line_start int, user_reason string, codebase_hash string, seq int")
+    records = audit.with_record(none, w, "global", "fine")
+    row = audit.suppressed(w, records).first()
+    assert row.suppressed and row.suppression_reason == "fine"
+    assert not audit.suppressed(w, audit.without_record(records, 1)).first().suppressed
+    assert audit.with_record(none, w, "audit", "x").isEmpty()

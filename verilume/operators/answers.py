@@ -49,3 +49,28 @@ def alignment_files(hits: DataFrame, files: DataFrame, k: int = 5, chars: int =
 def without_header(document: Column | str) -> Column:
     """A stored document without its leading "Paper:", "Page:" and "Section:" lines."""
     return F.regexp_replace(document, r"\A(?:(?:Paper|Page|Section|File|Symbol):[^\n]*\n+)+", "")
+
+
+#: Claim types and alignment statuses that answers may name.
+CLAIM_TYPES = "data_split model_architecture training_procedure evaluation_metrics data_preprocessing hyperparameter implementation_detail other".split()
+STATUSES = {"aligned": "aligned", "misaligned": "misaligned", "partial": "misaligned"}
+
+
+def parsed_claims(answers: DataFrame) -> DataFrame:
+    """(query_id, seq, text, claim_type, keywords, expected_value) of answers that hold a JSON list of claims, in fences or not; unknown
+    types are other, values become text, entries without a text go."""
+    bare = F.regexp_replace("answer", r"```(?:json)?", "")
+    entries = F.from_json(F.regexp_extract(bare, r"(?s)(\[.*\])", 1), "array<struct<text:string,claim_type:string,keywords:array<string>,expected_value:string>>")
+    at = answers.select("query_id", F.posexplode(entries).alias("seq", "c")).filter(F.coalesce(F.trim("c.text"), F.lit("")) != "")
+    kind = F.lower(F.trim("c.claim_type"))
+    return at.select("query_id", "seq", "c.text", F.when(kind.isin(*CLAIM_TYPES), kind).otherwise("other").alias("claim_type"), F.coalesce("c.keywords", F.array().cast("array<string>")).alias("keywords"), "c.expected_value")
+
+
+def parsed_verdicts(answers: DataFrame) -> DataFrame:
+    """(query_id, status, tier, confidence, explanation) of answers about one claim: partial agreement is a contradiction, anything unknown
+    is unverified, a missing tier is 4."""
+    v = F.from_json(json_part("answer"), "struct<status:string,tier:string,confidence:string,explanation:string>")
+    known = F.create_map(*[F.lit(x) for kv in STATUSES.items() for x in kv])
+    status = F.coalesce(F.try_element_at(known, F.lower(F.trim(v["status"]))), F.lit("unverified"))
+    tier = F.coalesce(trailing_index(v["tier"]), F.lit(4))
+    return answers.select("query_id", status.alias("status"), F.greatest(F.lit(1), F.least(F.lit(4), tier)).alias("tier"), unit(F.coalesce(v["confidence"].try_cast("double"), F.lit(0.5))).alias("confidence"), v["explanation"].alias("explanation"))
