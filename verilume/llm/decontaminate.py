@@ -37,13 +37,16 @@ OPEN, VALUE, POINT = "\u0002", "\u0003", "\u0004"
 
 
 def _marked(text: str) -> Column:
-    """The text in small letters with its slots marked; its tokens are what lies between other characters than letters, digits and marks."""
-    out = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), OPEN + VALUE + POINT, "   ")
-    out = F.regexp_replace(out, r"(?<=\p{N})[.,](?=\p{N})", POINT)
-    out = F.regexp_replace(out, r"(?<![\p{L}\p{N}])(\p{N}[\p{N}" + POINT + r"]*)(?=(?i:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")?(?![\p{L}\p{N}]))", f" {OPEN}num{VALUE}$1 ")
-    out = F.regexp_replace(out, r"(?<=\p{N} )\s*(?i:(" + "|".join(sorted(UNITS, key=len, reverse=True)) + r"|[%$€£]))(?![\p{L}\p{N}])", f"{OPEN}unit{VALUE}$1 ")
-    out = F.regexp_replace(out, r"(?<=[\p{L}\p{N},;] )(\p{Lu}[\p{L}\p{N}]*)", f"{OPEN}name{VALUE}$1")
-    return F.lower(out)
+    """The text in small letters with its slots marked; its tokens are what lies between other characters than letters, digits and marks.
+    The steps for numbers run only on texts with a number."""
+    text = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    out = F.when(text.rlike(f"[{OPEN}-{POINT}]"), F.translate(text, OPEN + VALUE + POINT, "   ")).otherwise(text)
+    units = "|".join(sorted(UNITS, key=len, reverse=True))
+    number = F.regexp_replace(out, r"(?<=\p{N})[.,](?=\p{N})", POINT)
+    number = F.regexp_replace(number, r"(?<![\p{L}\p{N}])(\p{N}[\p{N}" + POINT + r"]*)(?=(?i:" + units + r")?(?![\p{L}\p{N}]))", f" {OPEN}num{VALUE}$1 ")
+    number = F.regexp_replace(number, r"(?<=\p{N} )\s*(?i:(" + units + r"|[%$€£]))(?![\p{L}\p{N}])", f"{OPEN}unit{VALUE}$1 ")
+    out = F.when(text.rlike(r"\p{N}"), number).otherwise(out)
+    return F.lower(F.regexp_replace(out, r"(\p{Lu})(?<=[\p{L}\p{N},;] \p{Lu})", f"{OPEN}name{VALUE}$1"))
 
 
 def _tokens(marked: Column) -> Column:
@@ -54,9 +57,26 @@ def _template(marked: Column) -> Column:
     return F.regexp_replace(marked, VALUE + r"[^\s" + OPEN + "]*", "")
 
 
-def _windows(tokens: str, size: int) -> Column:
-    """The hash of each window of `size` tokens, in order."""
-    return F.transform(F.sequence(F.lit(1), F.size(tokens) - size + 1), lambda i: F.xxhash64(F.slice(tokens, i, size)))
+def _once(value: Column, then) -> Column:
+    """then(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _windows(tokens: Column | str, size: int) -> Column:
+    """The hash of each run of `size` tokens, in order: hashes of runs of 2, 4 and so on are made from halves, the rest is added."""
+
+    def joined(a: Column, b: Column, apart: int) -> Column:
+        return F.zip_with(a, F.slice(b, apart + 1, F.greatest(F.size(b) - apart, F.lit(0))), lambda x, y: F.xxhash64(x, y))
+
+    def grow(single: Column, run: Column, have: int) -> Column:
+        if have == size:
+            return F.slice(run, 1, F.greatest(F.size(run) - size + 1, F.lit(0)))
+        if 2 * have <= size:
+            return _once(joined(run, run, have), lambda longer: grow(single, longer, 2 * have))
+        return _once(joined(run, single, have), lambda longer: grow(single, longer, have + 1))
+
+    single = F.transform(tokens, lambda t: F.xxhash64(t))
+    return _once(single, lambda one: grow(one, one, 1))
 
 
 def _slots(df: DataFrame, *keys: str) -> DataFrame:
