@@ -7,7 +7,7 @@ first, so exact copies never meet in a bucket. Within a bucket only star-shaped
 pivot to every other member, and each edge is confirmed on the full sets.
 
 A star can miss a link between two members that are both too far from its pivot. After two rounds of stars (the
-smallest member, then a pseudo-random member per bucket) the buckets that still hold several components are settled
+member with the smallest id, then a pseudo-random member per bucket) the buckets that still hold several components are settled
 exactly: a shingle that no other component has cannot count towards a link, so a class whose remaining shingles
 are too few to reach the threshold has no open link and goes; pairs are then formed among the few that are left, where
 the remaining shingles of both sides suffice.
@@ -146,7 +146,8 @@ def links(docs: DataFrame, signed: DataFrame, percent: int = 85, k: int = 5) ->
     """key, label of every class of `signed` that has a link."""
     classes = signed.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     member = materialize(classes.select("key", "doc_id", "n", F.explode("bands").alias("bucket")), "members")
-    shared = member.groupBy("bucket").agg(F.count("*").alias("c"), F.min(F.struct("key", "n")).alias("p")).filter("c > 1")
+    oldest = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "n")  # of a family the source has the smallest id, as a rule
+    shared = member.groupBy("bucket").agg(F.count("*").alias("c"), F.min(oldest).alias("p")).filter("c > 1")
     shared = materialize(member.join(shared, "bucket").select("bucket", "key", "n", "doc_id", F.col("p.key").alias("pivot"), F.col("p.n").alias("pivot_n")), "buckets")
 
     wanted = shared.select("key", "doc_id").distinct()
@@ -181,9 +182,11 @@ def links(docs: DataFrame, signed: DataFrame, percent: int = 85, k: int = 5) ->
         across = parts.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("s")
         open_ = parts.join(across, "s", "left_semi").groupBy("key").agg(F.count("*").alias("able"))
         rest = materialize(rest.drop("able").join(open_, "key").filter(f"100 * able >= {percent} * n"), "open")
-    other = rest.select("bucket", F.col("key").alias("pivot"), F.col("n").alias("pivot_n"), F.col("label").alias("pivot_label"), F.col("able").alias("pivot_able"))
+    rest = rest.join(rest.groupBy("key").agg(F.collect_set("bucket").alias("at")), "key")  # at most BANDS buckets each
+    other = rest.select("bucket", F.col("key").alias("pivot"), F.col("n").alias("pivot_n"), F.col("label").alias("pivot_label"), F.col("able").alias("pivot_able"), F.col("at").alias("pivot_at"))
     enough = F.expr(f"{100 + percent} * least(able, pivot_able) >= {percent} * (n + pivot_n)")
-    pairs = rest.join(other, "bucket").filter("key < pivot and label != pivot_label").filter(fits).filter(enough)
+    once = F.expr("bucket = array_min(array_intersect(at, pivot_at))")
+    pairs = rest.join(other, "bucket").filter(F.expr("key < pivot and label != pivot_label") & fits & enough & once)
     pairs = materialize(_ordered(pairs.select(F.col("pivot").alias("a"), F.col("key").alias("b"))).join(tested, ["a", "b"], "left_anti"), "rest")
     more = materialize(_confirmed(pairs, sets, percent), "linked")
     if not more.isEmpty():
