@@ -2,7 +2,7 @@
 
 Features are the distinct runs of GRAM_SIZES bytes of a text in small ASCII letters, hashed to FEATURES buckets. The log-count
 ratio of a bucket compares its document frequency in toxic and other training rows; it is counted over all labelled training
-rows. Buckets that tell the classes apart (SIGNIFICANT standard errors, MIN_DOCS documents) form the model; a logistic
+rows. Buckets that tell the classes apart (a ratio of MIN_RATIO and SIGNIFICANT standard errors, MIN_DOCS documents) form the model; a logistic
 regression over their ratio-scaled presence is fitted on at most SAMPLE rows of each class, taken in the order of a hash of
 the id. A score is the sigmoid of the sum over a whole text; the bias is the score of an empty text.
 
@@ -26,7 +26,7 @@ from verilume.llm import textnum
 from verilume.llm.common import map_texts, materialize
 
 GRAM_SIZES, FEATURES = (4, 6), 1 << 20
-FOLDS, SAMPLE, MIN_DOCS, SIGNIFICANT, SMOOTHING = 5, 4000, 5, 4.0, 1.0
+FOLDS, SAMPLE, MIN_DOCS, SIGNIFICANT, MIN_RATIO, SMOOTHING = 5, 2000, 5, 4.0, float(np.log(2)), 1.0
 LOOKUP_ROWS = 500_000
 
 
@@ -71,18 +71,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def logistic(columns: list[np.ndarray], toxic: np.ndarray, scale: np.ndarray, steps: int = 1500, penalty: float = 1e-5) -> tuple[float, np.ndarray]:
-    """Bias and weights over presence times scale, by accelerated gradient descent."""
-    row = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
-    col = np.concatenate(columns) if columns else np.zeros(0, np.int64)
-    share = np.full(len(toxic), 1 / max(1, len(toxic)))
+def logistic(row: np.ndarray, col: np.ndarray, toxic: np.ndarray, scale: np.ndarray, prior: float, steps: int = 1500, penalty: float = 1e-5) -> tuple[float, np.ndarray]:
+    """Bias and weights over presence times scale, by accelerated gradient descent; row and col say which text has which
+    feature, prior is the share of toxic rows among all training rows, which the sample's rows are weighted to."""
+    n = len(toxic)
+    share = np.where(toxic == 1, prior / max(1, toxic.sum()), (1 - prior) / max(1, n - toxic.sum()))
     x = scale[col]
-    norm = np.bincount(row, x * x, minlength=len(columns)).max(initial=0) + 1
+    norm = np.bincount(row, x * x, minlength=n).max(initial=0) + 1
     w, b = np.zeros(len(scale)), 0.0
     last_w, last_b = w, b
     for t in range(steps):
         v, c = w + (t / (t + 3)) * (w - last_w), b + (t / (t + 3)) * (b - last_b)
-        z = c + np.bincount(row, x * v[col], minlength=len(columns))
+        z = c + np.bincount(row, x * v[col], minlength=n)
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic) * share
         last_w, last_b = w, b
         w = v - 4 / norm * (np.bincount(col, x * g[row], minlength=len(scale)) + penalty * v)
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     feature, c0, c1 = (got[c].to_numpy() for c in ("feature", "clean", "toxic"))
     ratio = np.log((c1 + SMOOTHING) / (n1 + 2 * SMOOTHING)) - np.log((c0 + SMOOTHING) / (n0 + 2 * SMOOTHING))
     error = np.sqrt(1 / (c1 + SMOOTHING) + 1 / (c0 + SMOOTHING))
-    kept = np.abs(ratio) >= SIGNIFICANT * error
+    kept = np.abs(ratio) >= np.maximum(SIGNIFICANT * error, MIN_RATIO)
     feature, ratio = feature[kept], ratio[kept]
     place = np.full(FEATURES, -1, np.int64)
     place[feature] = np.arange(len(feature))
@@ -148,8 +148,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic").cast(pa.int32()), pa.array([x.tolist() for x in lists], pa.list_(pa.int64()))], ["id", "toxic", "at"])
 
     rows = map_texts(picked, features, "id long, toxic int, at array<long>").dropDuplicates(["id"]).orderBy("id").toArrow()
-    columns = [np.array(x, np.int64) for x in rows["at"].to_pylist()]
-    bias, w = logistic(columns, rows["toxic"].to_numpy().astype(np.int64), ratio)
+    lists = rows["at"].combine_chunks()
+    at = np.repeat(np.arange(len(lists), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+    bias, w = logistic(at, lists.flatten().to_numpy().astype(np.int32), rows["toxic"].to_numpy().astype(np.int64), ratio, n1 / (n0 + n1))
     weights[feature] = w
     return Model(float(bias), weights)
 
