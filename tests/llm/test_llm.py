@@ -129,6 +129,20 @@ def test_templates_and_slots(spark, odd):
     assert decontaminate.matches(d.limit(0), bench).count() == decontaminate.matches(d, bench.limit(0)).count() == 0
 
 
+def found(spark, item, *texts):
+    """The places in `texts` that the item contaminates."""
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    return sorted(r.doc_id for r in decontaminate.matches(documents(spark, texts), bench).collect())
+
+
+def test_only_contradicting_windows_are_dropped(spark):
+    item = "the shop sells 3 red pens and 3 blue pens to every child who comes in before noon and pays with coins or paper notes"
+    parted, edited = item.replace("3 red", "5 red").replace("3 blue", "8 blue"), item.replace("3 blue", "4 blue")
+    merged = "it sells 4 red pens and 4 blue pens to every child who comes in before noon and pays with coins or paper notes"
+    assert found(spark, item, item, parted, edited, " ".join(words(60, 3))) == [0, 1, 2]
+    assert found(spark, merged.replace("4 blue", "6 blue"), merged) == [0]
+
+
 # 5
 
 

@@ -3,8 +3,10 @@
 Documents and benchmark items become sequences of tokens, in which numbers, units after a number and names (capitalised
 words inside a sentence) are typed placeholders and all else is in small letters. Windows of WINDOW template tokens (a shorter
 item is one window) are hashed and joined. The matched windows of one document, item and alignment count only if their slots
-are consistent: each value of the item stands for one value in the document and the other way round. So a question with other
-numbers, names or units is caught, and a chance match of shapes with contradicting values isn't.
+are consistent: each value of the item stands for one value in the document and the other way round. Where slots contradict each
+other, the values with the most matched windows hold and only the windows over the other slots are dropped; a slot with the
+item's own value always counts. So a question with other numbers, names or units is caught, and a chance match of shapes
+with contradicting values isn't.
 
 A document is contaminated by an item if it has at least COVERAGE of the item's windows in consistent alignments. Everything
 runs as DataFrame expressions; a document's windows are never shuffled, unless the benchmark has more than BROADCAST_ROWS
@@ -85,6 +87,26 @@ def _slots(df: DataFrame, *keys: str) -> DataFrame:
     return out.select(*keys, "token", F.substring_index("t", VALUE, 1).alias("kind"), F.substring_index("t", VALUE, -1).alias("value"))
 
 
+def _contradicting(pairs: DataFrame) -> DataFrame:
+    """_doc_id, _text_hash, _item, _shift and _item_token of the slots whose values don't fit the others of their alignment and kind.
+    Pairs of values are taken by the matched windows on their slots, equal ones first among as many; a pair that shares one
+    of its values with a pair taken before contradicts, unless its values are equal."""
+    keys = ("doc_id", "text_hash", "item", "shift")
+    exact = F.col("item_value").eqNullSafe(F.col("value"))
+    each = pairs.groupBy(*keys, "kind", "item_value", "value").agg((-F.sum("covered")).alias("covered"), F.min("item_token").alias("first"), F.collect_list("item_token").alias("slots"))
+    pair = F.struct("covered", (~exact).alias("other"), "first", F.col("item_value").alias("a"), F.col("value").alias("b"), "slots")
+    each = each.groupBy(*keys, "kind").agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
+    state = F.struct(F.array().cast("array<string>").alias("a"), F.array().cast("array<string>").alias("b"), F.array().cast("array<int>").alias("bad"))
+
+    def step(was, p):
+        free = p["b"].isNotNull() & ~F.array_contains(was["a"], p["a"]) & ~F.array_contains(was["b"], F.coalesce(p["b"], F.lit("")))
+        take = F.struct(F.array_append(was["a"], p["a"]).alias("a"), F.array_append(was["b"], p["b"]).alias("b"), was["bad"].alias("bad"))
+        drop = F.struct(was["a"].alias("a"), was["b"].alias("b"), F.concat(was["bad"], p["slots"]).alias("bad"))
+        return F.when(free, take).when(p["other"], drop).otherwise(was)
+
+    return each.select(*[F.col(c).alias(f"_{c}") for c in keys], F.explode(F.aggregate("pairs", state, step)["bad"]).alias("_item_token"))
+
+
 def _hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, text_hash, item_id, matched, windows: what is contaminated, before ids are merged."""
     items = benchmark.select(F.col("item_id").cast("long"), _marked("text").alias("marked"))
@@ -107,18 +129,16 @@ def _hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = materialize(out.withColumn("shift", F.col("at") - F.col("item_at")).distinct(), "windows")
 
     item_slots = materialize(_slots(items, "item"), "slots")
-    bad = None
     if not item_slots.isEmpty():
         places = found.join(item_slots.select("item", F.col("token").alias("item_token"), "kind", F.col("value").alias("item_value")), "item")
-        places = places.filter("item_token >= item_at and item_token < item_at + size").select("doc_id", "text_hash", "item", "shift", (F.col("item_token") + F.col("shift")).alias("token"), "kind", "item_value").distinct()
+        places = places.filter("item_token >= item_at and item_token < item_at + size").groupBy("doc_id", "text_hash", "item", "shift", "item_token", "kind", "item_value").agg(F.count("*").alias("covered"))
         ids = materialize(places.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct(), "slotted")
         texts = keyed.join(ids, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")), "left_semi").dropDuplicates(["doc_id", "text_hash"])
-        theirs = _slots(texts.select("doc_id", "text_hash", _marked("text").alias("marked")), "doc_id", "text_hash").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("token").alias("_t"), "value")
-        pairs = places.join(theirs, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")) & (F.col("token") == F.col("_t")))
-        each = pairs.groupBy("doc_id", "text_hash", "item", "shift", "kind").agg(F.count_distinct("item_value").alias("a"), F.count_distinct("value").alias("b"), F.count_distinct("item_value", "value").alias("ab"))
-        bad = each.filter("a != ab or b != ab").select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "text_hash", "item", "shift")]).distinct()
-    if bad is not None:
-        found = found.join(bad, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_hash") == F.col("_text_hash")) & (F.col("item") == F.col("_item")) & (F.col("shift") == F.col("_shift")), "left_anti")
+        theirs = _slots(texts.select("doc_id", "text_hash", _marked("text").alias("marked")), "doc_id", "text_hash").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("token").alias("_t"), F.col("kind").alias("_k"), "value")
+        same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")) & (F.col("item_token") + F.col("shift") == F.col("_t")) & (F.col("kind") == F.col("_k"))
+        bad = materialize(_contradicting(places.join(theirs, same, "left")), "contradicting")
+        same = [F.col("doc_id").eqNullSafe(F.col("_doc_id")), *[F.col(c) == F.col(f"_{c}") for c in ("text_hash", "item", "shift")]]
+        found = found.join(bad, same[0] & same[1] & same[2] & same[3] & F.expr("_item_token >= item_at and _item_token < item_at + size"), "left_anti")
     each = found.groupBy("doc_id", "text_hash", "item", "item_id").agg(F.count_distinct("item_at").alias("matched"), F.first("windows").alias("windows"))
     return each.filter(F.col("matched") >= F.ceil(COVERAGE * F.col("windows"))).select("doc_id", "text_hash", "item_id", "matched", "windows")
 
