@@ -143,6 +143,13 @@ def test_only_contradicting_windows_are_dropped(spark):
     assert found(spark, merged.replace("4 blue", "6 blue"), merged) == [0]
 
 
+def test_slots_stand_where_their_windows_do(spark):
+    item = "the stall sells 2 kg and 3 kg and 7 kg of old flour to every baker in this town"
+    before = ["we met Anna's friend and", "he asked Smith-jones here and", "mail to John.smith@site.org then"]
+    assert found(spark, item, *[f"{b} {item}" for b in before], before[0] + " " + item.replace("7", "9")) == [0, 1, 2, 3]
+    assert found(spark, f"{before[0]} {item}", item, f"{before[0]} {item}".replace("Anna", "Olga")) == [0, 1]
+
+
 # 5
 
 

@@ -55,8 +55,9 @@ def _tokens(marked: Column) -> Column:
     return F.array_remove(F.split(marked, r"[^\p{L}\p{N}%$€£" + OPEN + VALUE + POINT + "]+"), "")
 
 
-def _template(marked: Column) -> Column:
-    return F.regexp_replace(marked, VALUE + r"[^\s" + OPEN + "]*", "")
+def _template(tokens: Column) -> Column:
+    """The tokens without their slots' values, each in its place."""
+    return F.transform(tokens, lambda t: F.substring_index(t, VALUE, 1))
 
 
 def _once(value: Column, then) -> Column:
@@ -110,7 +111,7 @@ def _contradicting(pairs: DataFrame) -> DataFrame:
 def _hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, text_hash, item_id, matched, windows: what is contaminated, before ids are merged."""
     items = benchmark.select(F.col("item_id").cast("long"), _marked("text").alias("marked"))
-    items = items.withColumn("tokens", _tokens(_template(F.col("marked")))).withColumn("size", F.least(F.lit(WINDOW), F.size("tokens"))).filter(F.col("size") >= MIN_TOKENS)
+    items = items.withColumn("tokens", _template(_tokens(F.col("marked")))).withColumn("size", F.least(F.lit(WINDOW), F.size("tokens"))).filter(F.col("size") >= MIN_TOKENS)
     items = materialize(items.withColumn("item", F.xxhash64("item_id", "marked")), "items")
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # WINDOW - MIN_TOKENS + 1 numbers at most
     keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string"))
@@ -120,7 +121,7 @@ def _hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         grams = own.select("item", "item_id", F.posexplode(_windows("tokens", size)).alias("item_at", "window"), (F.size("tokens") - size + 1).alias("windows"))
         grams = materialize(grams, "benchmark")
         side = F.broadcast(grams) if grams.count() <= BROADCAST_ROWS else grams
-        rows = keyed.select("doc_id", "text_hash", _tokens(_template(_marked("text"))).alias("tokens")).filter(F.size("tokens") >= size)
+        rows = keyed.select("doc_id", "text_hash", _template(_tokens(_marked("text"))).alias("tokens")).filter(F.size("tokens") >= size)
         found = rows.select("doc_id", "text_hash", F.posexplode(_windows("tokens", size)).alias("at", "window")).join(side, "window")
         found = found.select("doc_id", "text_hash", "item", "item_id", "at", "item_at", "windows", F.lit(size).alias("size"))
         out = found if out is None else out.union(found)
