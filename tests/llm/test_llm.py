@@ -150,6 +150,14 @@ def test_slots_stand_where_their_windows_do(spark):
     assert found(spark, f"{before[0]} {item}", item, f"{before[0]} {item}".replace("Anna", "Olga")) == [0, 1]
 
 
+def test_names_may_begin_a_sentence(spark):
+    item = "Alice has 9 apples in the big basket. Alice gives 4 of them to her brother.\n\"Why so few?\" Alice then says: The rest is mine"
+    other = item.replace("Alice", "Robert").replace("9", "8")
+    small = "Calculate the sum of all the odd numbers below the given bound"
+    assert found(spark, item, item, "Once more. " + other, " ".join(words(60, 4))) == [0, 1]
+    assert found(spark, small, "please " + small.lower(), "now. " + small, small.replace("Calculate", "Find")) == [0, 1, 2]
+
+
 # 5
 
 

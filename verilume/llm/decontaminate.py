@@ -1,7 +1,8 @@
 """Benchmark decontamination by templates.
 
 Documents and benchmark items become sequences of tokens, in which numbers, units after a number and names (capitalised
-words inside a sentence) are typed placeholders and all else is in small letters. Windows of WINDOW template tokens (a shorter
+words inside a sentence) are typed placeholders and all else is in small letters. Other capitalised words (which begin a text,
+sentence, line or quotation) are words in one reading and names in another, on both sides; the windows of both are used. Windows of WINDOW template tokens (a shorter
 item is one window) are hashed and joined. The matched windows of one document, item and alignment count only if their slots
 are consistent: each value of the item stands for one value in the document and the other way round. Where slots contradict each
 other, the values with the most matched windows hold and only the windows over the other slots are dropped; a slot with the
@@ -34,30 +35,27 @@ UNITS = (
     "gram grams kilogram kilograms pound pounds liter liters litre litres percent dollar dollars euro euros cent cents usd eur gbp"
 ).split()
 
-# Inside the marked text: OPEN and a type begin a slot, VALUE begins its value, POINT joins the parts of a number.
-OPEN, VALUE, POINT = "\u0002", "\u0003", "\u0004"
+# Inside the marked text: OPEN and a type begin a slot, VALUE begins its value, POINT joins the parts of a number, FIRST begins a
+# capitalised word that isn't inside a sentence.
+OPEN, VALUE, POINT, FIRST = "\u0002", "\u0003", "\u0004", "\u0005"
 
 
 def _marked(text: str) -> Column:
     """The text in small letters with its slots marked; its tokens are what lies between other characters than letters, digits and marks.
     The steps for numbers run only on texts with a number."""
     text = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    out = F.when(text.rlike(f"[{OPEN}-{POINT}]"), F.translate(text, OPEN + VALUE + POINT, "   ")).otherwise(text)
+    out = F.when(text.rlike(f"[{OPEN}-{FIRST}]"), F.translate(text, OPEN + VALUE + POINT + FIRST, "    ")).otherwise(text)
     units = "|".join(sorted(UNITS, key=len, reverse=True))
     number = F.regexp_replace(out, r"(?<=\p{N})[.,](?=\p{N})", POINT)
     number = F.regexp_replace(number, r"(?<![\p{L}\p{N}])(\p{N}[\p{N}" + POINT + r"]*)(?=(?i:" + units + r")?(?![\p{L}\p{N}]))", f" {OPEN}num{VALUE}$1 ")
     number = F.regexp_replace(number, r"(?<=\p{N} )\s*(?i:(" + units + r"|[%$€£]))(?![\p{L}\p{N}])", f"{OPEN}unit{VALUE}$1 ")
     out = F.when(text.rlike(r"\p{N}"), number).otherwise(out)
-    return F.lower(F.regexp_replace(out, r"(\p{Lu})(?<=[\p{L}\p{N},;] \p{Lu})", f"{OPEN}name{VALUE}$1"))
+    out = F.regexp_replace(out, r"(\p{Lu})(?<=[\p{L}\p{N},;] \p{Lu})", f"{OPEN}name{VALUE}$1")
+    return F.lower(F.regexp_replace(out, r"(\p{Lu})(?<![\p{L}\p{N}%$€£" + VALUE + r"]\p{Lu})", f"{FIRST}$1"))
 
 
 def _tokens(marked: Column) -> Column:
-    return F.array_remove(F.split(marked, r"[^\p{L}\p{N}%$€£" + OPEN + VALUE + POINT + "]+"), "")
-
-
-def _template(tokens: Column) -> Column:
-    """The tokens without their slots' values, each in its place."""
-    return F.transform(tokens, lambda t: F.substring_index(t, VALUE, 1))
+    return F.array_remove(F.split(marked, r"[^\p{L}\p{N}%$€£" + OPEN + VALUE + POINT + FIRST + "]+"), "")
 
 
 def _once(value: Column, then) -> Column:
@@ -66,7 +64,8 @@ def _once(value: Column, then) -> Column:
 
 
 def _windows(tokens: Column | str, size: int) -> Column:
-    """The hash of each run of `size` tokens, in order: hashes of runs of 2, 4 and so on are made from halves, the rest is added."""
+    """The hash of each run of `size` template tokens, in order, with the words of FIRST as they are; then again for each run with those words
+    as names, null where that is the same. Hashes of runs of 2, 4 and so on are made from halves, the rest is added."""
 
     def joined(a: Column, b: Column, apart: int) -> Column:
         return F.zip_with(a, F.slice(b, apart + 1, F.greatest(F.size(b) - apart, F.lit(0))), lambda x, y: F.xxhash64(x, y))
@@ -78,14 +77,25 @@ def _windows(tokens: Column | str, size: int) -> Column:
             return _once(joined(run, run, have), lambda longer: grow(single, longer, 2 * have))
         return _once(joined(run, single, have), lambda longer: grow(single, longer, have + 1))
 
-    single = F.transform(tokens, lambda t: F.xxhash64(t))
-    return _once(single, lambda one: grow(one, one, 1))
+    tokens = F.col(tokens) if isinstance(tokens, str) else tokens
+    words = F.transform(tokens, lambda t: F.xxhash64(F.when(t.startswith(FIRST), F.substr(t, F.lit(2))).otherwise(F.substring_index(t, VALUE, 1))))
+    names = lambda one: F.zip_with(tokens, one, lambda t, h: F.when(t.startswith(FIRST), F.xxhash64(F.lit(f"{OPEN}name"))).otherwise(h))
+    whole = lambda one: _once(one, lambda x: grow(x, x, 1))
+    both = lambda one: _once(whole(one), lambda a: F.concat(a, F.zip_with(whole(names(one)), a, lambda n, w: F.when(n != w, n))))
+    return _once(words, both)
+
+
+def _placed(df: DataFrame, size: int, *keys: str) -> DataFrame:
+    """keys, at (its place) and window of every window of the column tokens, under both readings."""
+    out = df.select(*keys, (F.size("tokens") - size + 1).alias("_n"), F.posexplode(_windows("tokens", size)).alias("_at", "window"))
+    return out.filter("window is not null").select(*keys, F.pmod("_at", "_n").alias("at"), "window")
 
 
 def _slots(df: DataFrame, *keys: str) -> DataFrame:
-    """keys, token (its place), kind and value of every slot of the column marked."""
-    out = df.select(*keys, F.posexplode(_tokens(F.col("marked"))).alias("token", "t")).filter(F.col("t").contains(VALUE))
-    return out.select(*keys, "token", F.substring_index("t", VALUE, 1).alias("kind"), F.substring_index("t", VALUE, -1).alias("value"))
+    """keys, token (its place), kind, value and first (if only one reading has it) of every slot of the column marked."""
+    out = df.select(*keys, F.posexplode(_tokens(F.col("marked"))).alias("token", "t"), F.col("t").startswith(FIRST).alias("first")).filter(F.col("t").contains(VALUE) | F.col("first"))
+    kind = F.when(F.col("first"), F.lit(f"{OPEN}name")).otherwise(F.substring_index("t", VALUE, 1))
+    return out.select(*keys, "token", kind.alias("kind"), F.when(F.col("first"), F.substr("t", F.lit(2))).otherwise(F.substring_index("t", VALUE, -1)).alias("value"), "first")
 
 
 def _contradicting(pairs: DataFrame) -> DataFrame:
@@ -111,18 +121,18 @@ def _contradicting(pairs: DataFrame) -> DataFrame:
 def _hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, text_hash, item_id, matched, windows: what is contaminated, before ids are merged."""
     items = benchmark.select(F.col("item_id").cast("long"), _marked("text").alias("marked"))
-    items = items.withColumn("tokens", _template(_tokens(F.col("marked")))).withColumn("size", F.least(F.lit(WINDOW), F.size("tokens"))).filter(F.col("size") >= MIN_TOKENS)
+    items = items.withColumn("tokens", _tokens(F.col("marked"))).withColumn("size", F.least(F.lit(WINDOW), F.size("tokens"))).filter(F.col("size") >= MIN_TOKENS)
     items = materialize(items.withColumn("item", F.xxhash64("item_id", "marked")), "items")
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # WINDOW - MIN_TOKENS + 1 numbers at most
     keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string"))
     out = None
     for size in sizes:
         own = items.filter(F.col("size") == size)
-        grams = own.select("item", "item_id", F.posexplode(_windows("tokens", size)).alias("item_at", "window"), (F.size("tokens") - size + 1).alias("windows"))
+        grams = _placed(own.withColumn("windows", F.size("tokens") - size + 1), size, "item", "item_id", "windows").withColumnRenamed("at", "item_at")
         grams = materialize(grams, "benchmark")
         side = F.broadcast(grams) if grams.count() <= BROADCAST_ROWS else grams
-        rows = keyed.select("doc_id", "text_hash", _template(_tokens(_marked("text"))).alias("tokens")).filter(F.size("tokens") >= size)
-        found = rows.select("doc_id", "text_hash", F.posexplode(_windows("tokens", size)).alias("at", "window")).join(side, "window")
+        rows = keyed.select("doc_id", "text_hash", _tokens(_marked("text")).alias("tokens")).filter(F.size("tokens") >= size)
+        found = _placed(rows, size, "doc_id", "text_hash").join(side, "window")
         found = found.select("doc_id", "text_hash", "item", "item_id", "at", "item_at", "windows", F.lit(size).alias("size"))
         out = found if out is None else out.union(found)
     if out is None:
@@ -131,13 +141,14 @@ def _hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     item_slots = materialize(_slots(items, "item"), "slots")
     if not item_slots.isEmpty():
-        places = found.join(item_slots.select("item", F.col("token").alias("item_token"), "kind", F.col("value").alias("item_value")), "item")
-        places = places.filter("item_token >= item_at and item_token < item_at + size").groupBy("doc_id", "text_hash", "item", "shift", "item_token", "kind", "item_value").agg(F.count("*").alias("covered"))
+        places = found.join(item_slots.select("item", F.col("token").alias("item_token"), "kind", F.col("value").alias("item_value"), F.col("first").alias("item_first")), "item")
+        places = places.filter("item_token >= item_at and item_token < item_at + size").groupBy("doc_id", "text_hash", "item", "shift", "item_token", "kind", "item_value", "item_first").agg(F.count("*").alias("covered"))
         ids = materialize(places.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct(), "slotted")
         texts = keyed.join(ids, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")), "left_semi").dropDuplicates(["doc_id", "text_hash"])
-        theirs = _slots(texts.select("doc_id", "text_hash", _marked("text").alias("marked")), "doc_id", "text_hash").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("token").alias("_t"), F.col("kind").alias("_k"), "value")
+        theirs = _slots(texts.select("doc_id", "text_hash", _marked("text").alias("marked")), "doc_id", "text_hash").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("token").alias("_t"), F.col("kind").alias("_k"), "value", F.col("first").alias("_f"))
         same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")) & (F.col("item_token") + F.col("shift") == F.col("_t")) & (F.col("kind") == F.col("_k"))
-        bad = materialize(_contradicting(places.join(theirs, same, "left")), "contradicting")
+        pairs = places.join(theirs, same, "left").filter("not coalesce(item_first and _f and item_value = value, false)")  # those are words to both sides
+        bad = materialize(_contradicting(pairs), "contradicting")
         same = [F.col("doc_id").eqNullSafe(F.col("_doc_id")), *[F.col(c) == F.col(f"_{c}") for c in ("text_hash", "item", "shift")]]
         found = found.join(bad, same[0] & same[1] & same[2] & same[3] & F.expr("_item_token >= item_at and _item_token < item_at + size"), "left_anti")
     each = found.groupBy("doc_id", "text_hash", "item", "item_id").agg(F.count_distinct("item_at").alias("matched"), F.first("windows").alias("windows"))
