@@ -12,6 +12,9 @@ from verilume.llm import bpe, decontaminate, language_model, minhash, quality_ru
 from verilume.llm.common import materialize, table
 from verilume.llm.queries import tokenizer_path
 
+#: Documents that share this percentage of their five-word shingles are near duplicates (the query op6_minhash has 85).
+DUPLICATE_PERCENT = 80
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_model.reject(docs, table(spark, sf_dir, "labels"))
@@ -22,7 +25,7 @@ def quality_outliers(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.deduplicate(docs)
+    return minhash.deduplicate(docs, percent=DUPLICATE_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -236,6 +236,22 @@ def test_components_equal_brute_force(spark):
     assert sorted(r.doc_id for r in kept) == [i for i, c in enumerate(want) if i == c]
 
 
+def test_thresholds_of_stage_and_query(spark):
+    import corpus_pipeline
+
+    base = words(104, 70)
+    near, apart = list(base), list(base)
+    for i in (20, 60):
+        near[i] = "changed"
+    for i in (20, 60, 90):
+        apart[i] = "other"
+    sets = [shingle_set(" ".join(w)) for w in (base, near, apart)]
+    assert [round(len(sets[0] & s) / len(sets[0] | s), 3) for s in sets] == [1, 0.818, 0.739]
+    d = documents(spark, [" ".join(w) for w in (base, near, apart)])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, d, "").collect()) == [0, 2]
+    assert sorted(r.doc_id for r in minhash.near_duplicates(d).filter("kept").collect()) == [0, 1, 2]
+
+
 def test_dedup_in_odd_cases(spark, odd):
     rows = minhash.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
