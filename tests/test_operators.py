@@ -137,6 +137,19 @@ def test_alignment(spark):
     assert got == {1: ("misaligned", 2), 2: ("aligned", 4), 3: ("unverified", 3)}
 
 
+def test_behaviours_of_whole_documents(spark, tmp_path):
+    from verilume.plans import catalog
+
+    filler = "plain text of no meaning " * 20
+    many = "\n".join([f"dropout = 0.9{i // 100}" if i % 100 == 50 else "plain line" for i in range(300)])
+    rows = [(0, f"hidden_size = 77 {filler}", 2), (1, many, 2)]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t, _ in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.queries()["beh03_beh05_behaviours"](spark, str(tmp_path)).collect()
+    said = lambda d: "".join(r.extracted_values for r in got if r.chunk_id.startswith(f"c{d}:"))
+    assert "77" in said(0)
+    assert len({r.chunk_id for r in got}) == len(got) and all(f"0.9{i}" in said(1) for i in range(3))
+
+
 def test_sections_and_font_roles(spark):
     spans = lambda t, s, b=False: [(t, s, b)]
     rows = [("p", i, i // 4, 50.0, 100.0 + 20 * i, 300.0, 110.0 + 20 * i, t, spans(t, s, b)) for i, (t, s, b) in enumerate([("A Title", 16.0, True), ("Abstract", 12.0, True), ("We do it.", 10.0, False), ("1 Introduction", 12.0, True), ("Body text " * 20, 10.0, False), ("Methods", 12.0, True), ("More body " * 20, 10.0, False), ("References", 12.0, True), ("[1] X", 10.0, False)])]

@@ -337,7 +337,10 @@ def beh02_behaviour_type(spark, sf_dir):
 
 
 def _behaviours(spark, sf_dir):
-    chunks = _code(spark, sf_dir).select("doc_id", F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id"), F.concat(F.lit("src/run"), F.col("doc_id").cast("string"), F.lit(".py")).alias("relative_path"), F.right("content", F.lit(200)).alias("content"), F.col("doc_id").alias("seq"))
+    """Of every window of lines of the whole documents."""
+    name = F.concat(F.lit("c"), F.col("doc_id"), F.lit(":"), "start_line")
+    path = F.concat(F.lit("src/run"), F.col("doc_id"), F.lit(".py"))
+    chunks = chunking.line_windows(_code(spark, sf_dir), text="content").select("doc_id", name.alias("chunk_id"), path.alias("relative_path"), "content", F.struct("doc_id", "chunk").alias("seq"))
     return audit.behaviours(chunks)
 
 
