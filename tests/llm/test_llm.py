@@ -407,6 +407,17 @@ def test_outliers_go_and_clean_rows_stay(spark, odd):
     assert quality_rules.verdicts(odd.limit(0)).count() == 0
 
 
+def test_repeats_alone_are_outliers(spark):
+    rng = random.Random(8)
+    fresh = lambda n: [rng.choice(VOCABULARY) + rng.choice(VOCABULARY) + rng.choice(VOCABULARY) for _ in range(n)]
+    good = [" ".join(fresh(60 + 20 * (i % 20))) for i in range(120)]
+    lines = "\n".join([" ".join(fresh(1100))] + [" ".join(fresh(12))] * 75)
+    inline = " ".join(fresh(1060) + fresh(12) * 78)
+    rows = {r.doc_id: r for r in quality_rules.verdicts(documents(spark, [*good, lines, inline])).collect()}
+    assert not rows[120].base_failed and not rows[121].base_failed
+    assert sorted(i for i, r in rows.items() if not r.kept) == [120, 121]
+
+
 def test_chi_squared():
     assert quality_rules.chi2_quantile(0.95, 4) == pytest.approx(9.4877, abs=1e-3)
     assert quality_rules.gamma_share(1.0, 1.0) == pytest.approx(1 - np.exp(-1), abs=1e-9)
