@@ -155,6 +155,7 @@ def test_names_may_begin_a_sentence(spark):
     other = item.replace("Alice", "Robert").replace("9", "8")
     small = "Calculate the sum of all the odd numbers below the given bound"
     assert found(spark, item, item, "Once more. " + other, " ".join(words(60, 4))) == [0, 1]
+    assert found(spark, "Find five odd numbers. Add them", "we find five odd numbers. add them") == [0]
     assert found(spark, small, "please " + small.lower(), "now. " + small, small.replace("Calculate", "Find")) == [0, 1, 2]
 
 

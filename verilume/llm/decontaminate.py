@@ -147,7 +147,7 @@ def _hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         texts = keyed.join(ids, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")), "left_semi").dropDuplicates(["doc_id", "text_hash"])
         theirs = _slots(texts.select("doc_id", "text_hash", _marked("text").alias("marked")), "doc_id", "text_hash").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("token").alias("_t"), F.col("kind").alias("_k"), "value", F.col("first").alias("_f"))
         same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")) & (F.col("item_token") + F.col("shift") == F.col("_t")) & (F.col("kind") == F.col("_k"))
-        pairs = places.join(theirs, same, "left").filter("not coalesce(item_first and _f and item_value = value, false)")  # those are words to both sides
+        pairs = places.join(theirs, same, "left").filter("not (item_first and (value is null or _f and item_value = value))")  # those are words to both sides
         bad = materialize(_contradicting(pairs), "contradicting")
         same = [F.col("doc_id").eqNullSafe(F.col("_doc_id")), *[F.col(c) == F.col(f"_{c}") for c in ("text_hash", "item", "shift")]]
         found = found.join(bad, same[0] & same[1] & same[2] & same[3] & F.expr("_item_token >= item_at and _item_token < item_at + size"), "left_anti")
