@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from verilume.llm import bpe, chat, decontaminate, html_text, language_model, licences, minhash, quality_rules, sharding, textnum, toxicity
+from verilume.llm import bpe, chat, decontaminate, html_text, language_model, minhash, quality_rules, sharding, textnum, toxicity
 from verilume.llm.queries import tokenizer_path
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -300,17 +300,6 @@ def test_chunks_are_reused_and_repaired():
     assert out == coder.ids([("new start " + shared).encode()])
 
 
-# 8
-
-
-def test_licences(spark, odd):
-    notice = "Copyright (c) 2020 Me\n" + licences.KNOWN["MIT"].replace("Software", "SOFTWARE,") + "\n"
-    d = documents(spark, ["Licenced under CC BY-NC 4.0\nbody text", "This file is released under the MIT License!", notice, "licensed under nothing known", None, "", "a\n\nSPDX-License-Identifier: Apache-2.0\n\nb"])
-    got = {(r.doc_id, r.licence, r.unit) for r in licences.scan(d).collect()}
-    assert got == {(0, "CC-BY-NC-4.0", "line"), (1, "MIT", "document"), (1, "MIT", "paragraph"), (1, "MIT", "line"), (2, "MIT", "document"), (2, "MIT", "paragraph"), (6, "Apache-2.0", "line"), (6, "Apache-2.0", "paragraph")} | (got & {(2, "MIT", "line")})
-    assert licences.scan(odd).count() == licences.scan(odd.limit(0)).count() == 0
-
-
 # 9
 
 
