@@ -10,7 +10,8 @@ A star can miss a link between two members that are both too far from its pivot.
 member with the smallest id, then a pseudo-random member per bucket) the buckets that still hold several components are settled
 exactly: a shingle that no other component has cannot count towards a link, so a class whose remaining shingles
 are too few to reach the threshold has no open link and goes; pairs are then formed among the few that are left, where
-the remaining shingles of both sides suffice.
+the remaining shingles of both sides suffice. That last step deals the members of a bucket into blocks, and every two blocks
+meet in a place of their own: a hot bucket is many small tasks.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; null ids take part in links but
 never name a component unless every id in it is null (then the component's id is null and kept is false); repeated
@@ -25,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verilume.llm import textnum
-from verilume.llm.common import map_texts, materialize
+from verilume.llm.common import drop, map_texts, materialize
 
 BINS, ROWS, BANDS = 128, 5, 25
 #: Ids to look up in a scan go by broadcast up to this many rows (8 bytes each), beyond it by a shuffle.
 LOOKUP_ROWS = 500_000
+#: Members of a bucket that are compared with each other in one place.
+BLOCK = 128
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,40 +118,53 @@ def components(edges: DataFrame) -> DataFrame:
         stepped = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jumped = stepped.join(labels.select(F.col("node").alias("label"), F.col("label").alias("far")), "label")
         out = materialize(jumped.select("node", "old", F.least("label", "far").alias("label")), "labels")
-        labels = out.select("node", "label")
+        drop(labels)
+        labels = out
         if out.filter("old != label").isEmpty():
+            drop(both)
             return labels
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union."""
+    """The pairs (a, b) with 100 * intersection >= percent * union; one pair at a time is in memory."""
     sides = [sets.select(F.col("key").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab"]
-
-    def measure(batches):
-        for batch in batches:
-            a, b = batch.column(2), batch.column(3)
-            keep = []
-            for x, y in zip(a, b, strict=True):
-                u, v = x.values.to_numpy(), y.values.to_numpy()
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                keep.append(100 * both >= percent * (len(u) + len(v) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    joined = pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").select("a", "b", "set_a", "set_b")
-    return joined.mapInArrow(measure, "a binary, b binary")
+    joined = pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b")
+    both = joined.select("a", "b", (F.size("set_a") + F.size("set_b")).alias("n"), F.size(F.array_intersect("set_a", "set_b")).alias("both"))
+    return both.filter(f"100 * both >= {percent} * (n - both)").select("a", "b")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def in_blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two sides of `members` (bucket, key, others) that meet on (bucket, i, j): members are dealt into blocks of about
+    BLOCK by their key, and each pair of blocks i <= j meets at a place of its own, so that no bucket is one task's work."""
+    blocks = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("key", F.lit(1)), F.col("blocks")).cast("int"))
+    first = dealt.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence("own", F.col("blocks") - 1)))
+    second = dealt.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), "own")))
+    return first.drop("own", "blocks"), second.drop("own", "blocks")
+
+
+def _open_members(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """`rest` (bucket, key, n, label) without the classes whose shingles that another component has, too, are too few for a link;
+    with their number in the column able."""
+    members = rest.select("key", "label").distinct()
+    parts = members.join(sets, "key").select("key", "label", F.explode("shingles").alias("s"))
+    across = parts.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("s")
+    able = parts.join(across, "s", "left_semi").groupBy("key").agg(F.count("*").alias("able"))
+    return rest.drop("able").join(able, "key").filter(f"100 * able >= {percent} * n")
+
+
 def links(docs: DataFrame, signed: DataFrame, percent: int = 85, k: int = 5) -> DataFrame:
     """key, label of every class of `signed` that has a link."""
     classes = signed.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     member = materialize(classes.select("key", "doc_id", "n", F.explode("bands").alias("bucket")), "members")
     oldest = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "n")  # of a family the source has the smallest id, as a rule
-    shared = member.groupBy("bucket").agg(F.count("*").alias("c"), F.min(oldest).alias("p")).filter("c > 1")
-    shared = materialize(member.join(shared, "bucket").select("bucket", "key", "n", "doc_id", F.col("p.key").alias("pivot"), F.col("p.n").alias("pivot_n")), "buckets")
+    pivots = member.groupBy("bucket").agg(F.count("*").alias("c"), F.min(oldest).alias("p")).filter("c > 1")
+    shared = materialize(member.join(pivots, "bucket").select("bucket", "key", "n", "doc_id", F.col("p.key").alias("pivot"), F.col("p.n").alias("pivot_n")), "buckets")
+    drop(member)
 
     wanted = shared.select("key", "doc_id").distinct()
     ids = wanted.select("doc_id").distinct()
@@ -158,40 +174,41 @@ def links(docs: DataFrame, signed: DataFrame, percent: int = 85, k: int = 5) ->
     sets = materialize(found.groupBy("key").agg(F.first("shingles").alias("shingles")), "sets")
 
     fits = F.expr(f"100 * least(n, pivot_n) >= {percent} * greatest(n, pivot_n)")
-    tested = materialize(_ordered(shared.filter("key != pivot").filter(fits).select(F.col("pivot").alias("a"), F.col("key").alias("b"))), "star")
-    edges = materialize(_confirmed(tested, sets, percent), "linked")
+    first = materialize(_ordered(shared.filter("key != pivot").filter(fits).select(F.col("pivot").alias("a"), F.col("key").alias("b"))), "star")
+    edges = materialize(_confirmed(first, sets, percent), "linked")
     labels = components(edges)
 
     def mixed(labels: DataFrame) -> DataFrame:
         """The members of buckets that hold more than one component."""
-        at = shared.select("bucket", "key", "n").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+        at = shared.select("bucket", "key", "n").join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
         many = at.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("key", "n", "label"), F.xxhash64("key", "bucket")).alias("p")).filter("lo != hi")
         return at.join(many.select("bucket", "p"), "bucket")
 
-    second = mixed(labels).filter("label != p.label").select("key", "n", F.col("p.key").alias("pivot"), F.col("p.n").alias("pivot_n")).filter(fits)
-    second = materialize(_ordered(second.select(F.col("pivot").alias("a"), F.col("key").alias("b"))).join(tested, ["a", "b"], "left_anti"), "star")
-    tested = tested.union(second)
+    again = mixed(labels).filter("label != p.label").select("key", "n", F.col("p.key").alias("pivot"), F.col("p.n").alias("pivot_n")).filter(fits)
+    second = materialize(_ordered(again.select(F.col("pivot").alias("a"), F.col("key").alias("b"))).join(first, ["a", "b"], "left_anti"), "star")
     more = materialize(_confirmed(second, sets, percent), "linked")
     if not more.isEmpty():
-        edges = edges.union(more)
-        labels = components(edges)
+        drop(labels)
+        labels = components(edges.union(more))
 
     rest = materialize(mixed(labels).select("bucket", "key", "n", "label"), "mixed")
     for _ in range(2):
-        parts = rest.select("key", "label").distinct().join(sets, "key").select("key", "label", F.explode("shingles").alias("s"))
-        across = parts.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("s")
-        open_ = parts.join(across, "s", "left_semi").groupBy("key").agg(F.count("*").alias("able"))
-        rest = materialize(rest.drop("able").join(open_, "key").filter(f"100 * able >= {percent} * n"), "open")
-    rest = rest.join(rest.groupBy("key").agg(F.collect_set("bucket").alias("at")), "key")  # at most BANDS buckets each
-    other = rest.select("bucket", F.col("key").alias("pivot"), F.col("n").alias("pivot_n"), F.col("label").alias("pivot_label"), F.col("able").alias("pivot_able"), F.col("at").alias("pivot_at"))
+        fewer = materialize(_open_members(rest, sets, percent), "open")
+        drop(rest)
+        rest = fewer
+    left, right = in_blocks(rest.join(rest.groupBy("key").agg(F.collect_set("bucket").alias("at")), "key"))  # at most BANDS buckets each
+    other = right.select("bucket", "i", "j", F.col("key").alias("pivot"), F.col("n").alias("pivot_n"), F.col("label").alias("pivot_label"), F.col("able").alias("pivot_able"), F.col("at").alias("pivot_at"))
     enough = F.expr(f"{100 + percent} * least(able, pivot_able) >= {percent} * (n + pivot_n)")
     once = F.expr("bucket = array_min(array_intersect(at, pivot_at))")
-    pairs = rest.join(other, "bucket").filter(F.expr("key < pivot and label != pivot_label") & fits & enough & once)
-    pairs = materialize(_ordered(pairs.select(F.col("pivot").alias("a"), F.col("key").alias("b"))).join(tested, ["a", "b"], "left_anti"), "rest")
-    more = materialize(_confirmed(pairs, sets, percent), "linked")
-    if not more.isEmpty():
-        labels = components(edges.union(more))
-    return labels.withColumnRenamed("node", "key")
+    met = left.join(other, ["bucket", "i", "j"]).filter(F.expr("label != pivot_label and (i < j or key < pivot)") & fits & enough & once)
+    pairs = _ordered(met.select(F.col("pivot").alias("a"), F.col("key").alias("b")))
+    pairs = materialize(pairs.join(first.union(second), ["a", "b"], "left_anti"), "rest")
+    last = materialize(_confirmed(pairs, sets, percent), "linked")
+    if not last.isEmpty():
+        drop(labels)
+        labels = components(edges.union(more).union(last))
+    drop(shared, sets, first, second, edges, more, rest, pairs, last)
+    return labels.select(F.col("node").alias("key"), "label")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame:
@@ -228,12 +245,9 @@ def deduplicate(docs: DataFrame, percent: int = 85, k: int = 5) -> DataFrame:
 
 def _with_keys(docs: DataFrame, name: str, k: int) -> DataFrame:
     """`docs` with the key of each row's set in the column `name`."""
-    schema = docs.select("*").schema.add(name, "binary")
 
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                values, offs = _sets(batch, k)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_set_keys(values, offs), pa.binary())], [*batch.schema.names, name])
+    def run(batch: pa.RecordBatch):
+        values, offs = _sets(batch, k)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_set_keys(values, offs), pa.binary())], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return map_texts(docs, run, docs.select("*").schema.add(name, "binary"))
