@@ -27,8 +27,8 @@ from verilume.llm import textnum
 from verilume.llm.common import map_texts
 
 WINDOW, MASK_BITS = 16, 11
-#: Bounds of a worker's memory: entries of each dictionary generation (words, bare words), bytes of the chunk store.
-MAX_WORDS, MAX_BARE, MAX_STORE = 80_000, 150_000, 16 << 20
+#: Bounds of a worker's memory, in bytes: the stores of words, bare words and chunks; what an entry takes besides its key and value.
+MAX_WORDS, MAX_BARE, MAX_STORE, ENTRY = 32 << 20, 40 << 20, 12 << 20, 170
 #: Bytes of text at a time.
 BATCH = 1 << 20
 #: Punctuation that a word may end with; each run of it is one pre-token.
@@ -57,25 +57,33 @@ def separable(tokenizer) -> bool:
     return all(tokenizer.encode(sep.join(probe), add_special_tokens=False).ids == each for sep in (" ", "\n", "\t", "\r", "\x0b", "\x0c", "  \n"))
 
 
+def _cost(key: bytes, value) -> int:
+    return ENTRY + len(key) + (len(value) if isinstance(value, bytes) else sum(ENTRY // 2 + len(x or b"") for x in value))
+
+
 class Recent:
-    """A dictionary of two generations: when the young one is full, the old one goes."""
+    """A dictionary of two generations of `limit` / 2 bytes each: when the young one is full, the old one goes. An entry that is larger
+    than a generation isn't kept."""
 
     def __init__(self, limit: int):
-        self.limit, self.size = limit, 0
+        self.limit, self.size = limit // 2, 0
         self.young: dict = {}
         self.old: dict = {}
 
     def get(self, key):
         found = self.young.get(key)
         if found is None and (found := self.old.get(key)) is not None:
-            self.young[key] = found
+            self.put(key, found)
         return found
 
-    def put(self, key, value, size: int = 1) -> None:
-        self.young[key] = value
-        self.size += size
-        if self.size >= self.limit // 2:
+    def put(self, key, value) -> None:
+        cost = _cost(key, value)
+        if cost > self.limit:
+            return
+        if self.size + cost > self.limit:
             self.old, self.young, self.size = self.young, {}, 0
+        self.young[key] = value
+        self.size += cost
 
 
 class Encoder:
@@ -90,7 +98,7 @@ class Encoder:
         self.tokenizer.no_padding()
         self.by_space = separable(self.tokenizer)
         self.by_tail = self.by_space and self._tail_separates()
-        self.words, self.bare, self.chunks = Recent(2 * MAX_WORDS), Recent(2 * MAX_BARE), Recent(MAX_STORE)
+        self.words, self.bare, self.chunks = Recent(MAX_WORDS), Recent(MAX_BARE), Recent(MAX_STORE)
         self.tokens = None
         if self.tokenizer.decoder is None:
             self.tokens = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
@@ -138,7 +146,7 @@ class Encoder:
         found = self.chunks.get(key)
         if found is None:
             found = self._new_chunk(part)
-            self.chunks.put(key, found, 2 * len(part) + 400)
+            self.chunks.put(key, found)
         return found
 
     def _new_chunk(self, part: bytes) -> tuple:
