@@ -2,17 +2,21 @@
 
 `statistics` counts words, symbols, repeated lines and repeated word windows over whole texts. Texts that break a hard limit
 fail at once. For the others a vector of transformed statistics is compared with its group's minimum-covariance-determinant
-(MCD) estimate: concentration steps start at the coordinate-wise medians and move the mean and covariance to the COVERAGE
-share of rows with the smallest Mahalanobis distances, until they stand still. A row whose distance exceeds the CUTOFF quantile of
-the chi-squared law is rejected.
-
-A step is one aggregation: sums and cross products by group and by distance bin (partial sums are formed before the shuffle,
-so a source with a third of all rows is no hot spot), from which each group takes the bins up to its coverage. Groups below
-MIN_ROWS are pooled by language, then altogether; a pool that is still below it passes no verdict. FLOORS keep a covariance from
-collapsing where most rows have the same value.
+(MCD) estimate: the mean and covariance of that COVERAGE share of the rows whose covariance has the smallest determinant. The search
+has STARTS starts in each group, the coordinate-wise medians and quartiles and the rest subsets of one row more than there are dimensions,
+drawn by a hash. From each, concentration steps take the rows with the smallest Mahalanobis distances until the determinant
+falls by less than TOLERANCE; the start with the smallest determinant wins. A row whose distance exceeds the CUTOFF quantile of the
+chi-squared law is rejected.
+
+A step is one aggregation: sums and cross products by group, start and distance bin (partial sums are formed before the shuffle,
+so a source with a third of all rows is no hot spot), from which each group takes the bins up to its coverage. Of the bin at
+the border, BINS_PER_OCTAVE of which double a distance, each row counts with the share that is missing. Groups below
+MIN_ROWS are pooled by language, then altogether; a pool that is still below it passes no verdict. FLOORS are part of every covariance
+and its determinant and keep it from collapsing where most rows have the same value.
 
 Defined results: a null or empty text has zero counts and fails (too few words); null languages and sources are groups like any
-other; null and repeated ids and repeated rows are judged like any other row; extra columns are kept by `reject`.
+other; null and repeated ids and repeated rows are judged like any other row; extra columns are kept by `reject`; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verilume.llm import textnum
-from verilume.llm.common import map_texts, materialize
+from verilume.llm.common import drop, map_texts, materialize
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -35,8 +39,10 @@ DIMS = ("word_length", "symbols", "dup_lines", "repeats")
 #: The standard deviation that each dimension is allowed besides the estimated one: a line or passage that returns is no fault yet,
 #: but repeats just below MAX_REPEAT_PERCENT, or that many words in repeated lines of 12, must pass the CUTOFF alone.
 FLOORS = (0.25, 0.02, 0.12, 0.12)
-COVERAGE, CUTOFF, MIN_ROWS, MAX_STEPS = 0.75, 0.9999, 50, 12
-BINS_PER_OCTAVE = 16
+COVERAGE, CUTOFF, MIN_ROWS = 0.75, 0.9999, 50
+STARTS, TOLERANCE, BINS_PER_OCTAVE = 5, 1e-4, 256
+#: Groups whose models are broadcast (about 200 bytes for each start of one); more are joined by a shuffle.
+LOOKUP_GROUPS = 50_000
 
 
 def counts(buf: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
@@ -118,36 +124,71 @@ def chi2_quantile(share: float, d: int) -> float:
     return hi
 
 
-def _model(group, mean: np.ndarray, cov: np.ndarray) -> dict:
-    return {"g": group, "mean": mean.tolist(), "inv": np.linalg.inv(cov + np.diag(np.square(FLOORS))).ravel().tolist()}
+MODEL = "g string, start int, mean array<double>, inv array<double>, logdet double, still boolean"
+
+
+def _model(group, start: int, mean: np.ndarray, cov: np.ndarray, was: float) -> dict:
+    whole = cov + np.diag(np.square(FLOORS))
+    logdet = float(np.linalg.slogdet(whole)[1])
+    return {"g": group, "start": start, "mean": mean.tolist(), "inv": np.linalg.inv(whole).ravel().tolist(), "logdet": logdet, "still": not logdet < was - TOLERANCE}
+
+
+def consistency(share: float) -> float:
+    """What the covariance of the nearest `share` of normal rows is multiplied by to be that of all."""
+    d = len(DIMS)
+    return max(1.0, share / gamma_share(d / 2 + 1, chi2_quantile(share, d) / 2)) if share < 1 else 1.0
 
 
 def _concentrated(bins: pd.DataFrame) -> pd.DataFrame:
-    """The next model of one group from its distance bins: the mean and covariance of the nearest COVERAGE share."""
+    """The next model of one group and start from its distance bins: the mean and covariance of the nearest COVERAGE share."""
     d = len(DIMS)
     bins = bins.sort_values("bin")
-    n = bins["n"].to_numpy().cumsum()
-    take = int(np.searchsorted(n, math.ceil(COVERAGE * n[-1]))) + 1
-    m = n[take - 1]
-    s = np.array([bins[f"s{i}"].to_numpy()[:take].sum() for i in range(d)]) / m
+    n = bins["n"].to_numpy()
+    total, h = n.sum(), math.ceil(COVERAGE * n.sum())
+    weight = np.clip((h - (n.cumsum() - n)) / n, 0.0, 1.0)
+    s = np.array([weight @ bins[f"s{i}"].to_numpy() for i in range(d)]) / h
     cov = np.zeros((d, d))
     for i in range(d):
         for j in range(i, d):
-            cov[i, j] = cov[j, i] = bins[f"c{i}_{j}"].to_numpy()[:take].sum() / m - s[i] * s[j]
-    share = m / n[-1]
-    factor = share / gamma_share(d / 2 + 1, chi2_quantile(share, d) / 2) if share < 1 else 1.0
-    return pd.DataFrame([_model(bins["g"].iloc[0], s, np.maximum(factor, 1.0) * cov)])
+            cov[i, j] = cov[j, i] = weight @ bins[f"c{i}_{j}"].to_numpy() / h - s[i] * s[j]
+    return pd.DataFrame([_model(bins["g"].iloc[0], int(bins["start"].iloc[0]), s, consistency(h / total) * cov, bins["logdet"].iloc[0])])
 
 
-def _start(groups: pd.DataFrame) -> pd.DataFrame:
+def _first(groups: pd.DataFrame) -> pd.DataFrame:
+    """The models that the search starts from."""
     rows = []
-    for g, q in zip(groups["g"], groups["q"], strict=True):
+    for g, q, picked in zip(groups["g"], groups["q"], groups["picked"], strict=True):
         q = np.array([list(x) for x in q])
-        rows.append(_model(g, q[:, 1], np.diag(np.square((q[:, 2] - q[:, 0]) / 1.349))))
-    return pd.DataFrame(rows, columns=["g", "mean", "inv"])
+        rows.append(_model(g, 0, q[:, 1], np.diag(np.square((q[:, 2] - q[:, 0]) / 1.349)), math.inf))
+        picked = np.array([list(x) for x in picked]).reshape(STARTS - 1, -1, len(DIMS))
+        rows += [_model(g, i + 1, x.mean(axis=0), np.cov(x.T, bias=True), math.inf) for i, x in enumerate(picked)]
+    out = pd.DataFrame(rows, columns=["g", "start", "mean", "inv", "logdet", "still"])
+    return out.assign(logdet=math.inf, still=False)
 
 
-MODEL = "g string, mean array<double>, inv array<double>"
+def models(fit: DataFrame) -> DataFrame:
+    """g, mean and inv (of the covariance) of each group with MIN_ROWS rows in `fit` (g, row: a number of the row, x0, x1, ...)."""
+    d = len(DIMS)
+    quartiles = F.array(*[F.percentile(F.round(f"x{i}", 3), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) for i in range(d)])
+    vectors = F.array(*[F.col(f"x{i}") for i in range(d)])
+    picked = F.array(*[F.min_by(vectors, F.xxhash64("row", F.lit(i))) for i in range((STARTS - 1) * (d + 1))])
+    groups = fit.groupBy("g").agg(F.count("*").alias("n"), quartiles.alias("q"), picked.alias("picked")).filter(F.col("n") >= MIN_ROWS)
+    now = materialize(groups.select("g", "q", "picked").mapInPandas(lambda it: map(_first, it), MODEL), "models")
+    near = F.broadcast if now.count() <= STARTS * LOOKUP_GROUPS else (lambda x: x)
+    sums = [F.count("*").alias("n"), F.first("logdet").alias("logdet"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(d)]]
+    sums += [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"c{i}_{j}") for i in range(d) for j in range(i, d)]
+    steps = [now]
+    while not now.filter("not still").isEmpty():
+        at = fit.join(near(now.filter("not still")), "g").withColumn("bin", F.floor(BINS_PER_OCTAVE * F.log2(distance() + 1e-6)))
+        now = materialize(at.groupBy("g", "start", "bin").agg(*sums).groupBy("g", "start").applyInPandas(_concentrated, MODEL), "models")
+        steps.append(now)
+    ended = steps[0].filter("still")
+    for step in steps[1:]:
+        ended = ended.union(step.filter("still"))
+    best = ended.groupBy("g").agg(F.min(F.struct("logdet", "start", "mean", "inv")).alias("b"))
+    out = materialize(best.select("g", "b.mean", "b.inv"), "models")
+    drop(*steps)
+    return out
 
 
 def distance() -> Column:
@@ -168,23 +209,16 @@ def verdicts(docs: DataFrame) -> DataFrame:
     sizes = good.groupBy(key.alias("g"), pool.alias("p")).agg(F.count("*").alias("n"))
     pools = sizes.filter(F.col("n") < MIN_ROWS).groupBy("p").agg(F.sum("n").alias("pn"))
     names = sizes.join(pools, "p", "left").select("g", F.when(F.col("n") >= MIN_ROWS, F.col("g")).when(F.col("pn") >= MIN_ROWS, F.col("p")).otherwise(F.lit("*")).alias("to"))
-    named = stats.withColumn("g", key).join(materialize(names, "groups"), "g", "left").drop("g").withColumnRenamed("to", "g")
+    names = materialize(names, "groups")
+    named = stats.withColumn("g", key).join(names, "g", "left").drop("g").withColumnRenamed("to", "g")
     for i, x in enumerate(vector()):
         named = named.withColumn(f"x{i}", x)
     named = materialize(named, "vectors")
-    fit = named.filter(~F.col("base_failed")).select("g", *[f"x{i}" for i in range(d)])
-
-    quartiles = F.array(*[F.percentile(F.round(f"x{i}", 3), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) for i in range(d)])
-    models = materialize(fit.groupBy("g").agg(F.count("*").alias("n"), quartiles.alias("q")).filter(F.col("n") >= MIN_ROWS).select("g", "q").mapInPandas(lambda it: map(_start, it), MODEL), "models")
-    sums = [F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(d)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"c{i}_{j}") for i in range(d) for j in range(i, d)]]
-    for _ in range(MAX_STEPS):
-        at = fit.join(models, "g").withColumn("bin", F.floor(BINS_PER_OCTAVE * F.log2(distance() + 1e-6)))
-        new = materialize(at.groupBy("g", "bin").agg(*sums).groupBy("g").applyInPandas(_concentrated, MODEL), "models")
-        moved = new.join(models.select("g", F.col("mean").alias("was")), "g").filter(F.exists(F.zip_with("mean", "was", lambda a, b: F.abs(a - b)), lambda x: x > 1e-6))
-        models = new
-        if moved.isEmpty():
-            break
-    out = named.join(models, "g", "left").withColumn("distance", distance())
+    drop(stats, names)
+    fit = named.filter(~F.col("base_failed")).select("g", F.xxhash64("doc_id", "text_hash").alias("row"), *[f"x{i}" for i in range(d)])
+    found = models(fit)
+    found = F.broadcast(found) if found.count() <= LOOKUP_GROUPS else found
+    out = named.join(found, "g", "left").withColumn("distance", distance())
     inside = F.coalesce(F.col("distance") <= chi2_quantile(CUTOFF, d), F.lit(True))
     return out.select("doc_id", "lang", "source", "text_hash", *COUNTS, "base_failed", "distance", (~F.col("base_failed") & inside).alias("kept"))
 
