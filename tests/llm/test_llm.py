@@ -335,15 +335,15 @@ def kneser_ney(texts, order=language_model.ORDER):
     return p
 
 
-@pytest.mark.parametrize("shard_rows", [10**6, 700])
-def test_perplexities_equal_brute_force(spark, monkeypatch, shard_rows):
-    monkeypatch.setattr(language_model, "SHARD_ROWS", shard_rows)
+@pytest.mark.parametrize(("held", "size"), [(1 << 20, 2 << 20), (100, 300)])
+def test_perplexities_equal_brute_force(spark, held, size):
     texts = [" ".join(words(40, i)) for i in range(12)] + ["Ünïcode ##!! 99", "", None, " ".join(words(40, 1))]
     d, known = documents(spark, texts), labels(spark, [(i, 1, 0) for i in range(10)])
     marked = language_model.marked(d, known)
     trained = [r.text for r in marked.filter("trusted").collect()]
     p = kneser_ney(trained)
-    got = {r.doc_id: r.perplexity for r in language_model.perplexities(marked).collect()}
+    assert language_model.parts(marked, held, size).filter("n is null").select("part").distinct().count() > (4 if held == 100 else 0)
+    got = {r.doc_id: r.perplexity for r in language_model.perplexities(marked, held, size).collect()}
     for i, t in enumerate(texts):
         b = bytes(language_model.ORDER - 1) + (t or "").encode()
         grams = [b[j : j + language_model.ORDER] for j in range(len(b) - language_model.ORDER + 1)]

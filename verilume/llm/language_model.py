@@ -1,19 +1,22 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of byte n-grams, one per language, trained on trusted text.
 
-One pass over all texts gives, per task, the distinct ORDER-grams with their counts in trusted texts; their sums are the corpus
-table (lang_key, gram, n), as large as the corpus makes it. A gram is a number: its bytes, the oldest first, so that a
+One pass over all texts cuts them into parts, each with at most about HELD_GRAMS distinct ORDER-grams, and writes for each part its
+texts (compressed) and its distinct grams with their counts in trusted texts. The sums over the parts are the corpus table
+(lang_key, gram, n), as large as the corpus makes it. A gram is a number: its bytes, the oldest first, so that a
 context is gram >> 8 and the next lower order a mask. Each order's counts (raw at the top, distinct left extensions below),
 discounts, context sums and probabilities come from joins that are sharded by language and gram, and end in the log probability of
-every gram that occurs in any text. That table is cut into shards of at most SHARD_ROWS rows; each shard in turn is broadcast
-and looked up against all texts, and a document's sums over the shards add up to its perplexity. The broadcast is bounded by
-SHARD_ROWS whatever the corpus has; more grams mean more shards, none are left out.
+every gram that occurs in any text. A last join by language and gram answers the parts' grams; the answers of a part and its texts meet
+in one task, which looks the texts' grams up. Nothing of all this passes through the driver or is broadcast, and a task holds
+the answers of one part and one slice of texts, whatever the corpus has.
 
 One in HOLD_OUT trusted documents stays out of the training. A document is rejected if its perplexity exceeds its language's
-threshold, the QUANTILE of the perplexities of the documents held out times MARGIN (they are few in a small language).
+threshold: the QUANTILE of the perplexities of the documents held out, times MARGIN, since the quantile of few documents is about their
+maximum, which as many clean documents exceed as were held out for each one judged. A language without documents held
+out takes the threshold of all languages together.
 
-Defined results: null and empty texts have no perplexity and are kept; a language without trusted text has no threshold and its
+Defined results: null and empty texts have no perplexity and are kept; a language without trusted text has no model and its
 documents are kept; null languages are a language of their own; null ids are never trusted; repeated ids and rows are scored row by
-row; extra columns are kept by `reject`.
+row; extra columns are kept by `reject`; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,14 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verilume.llm import textnum
-from verilume.llm.common import map_texts, materialize
+from verilume.llm.common import drop, materialize
 
 ORDER, BYTE = 5, 256
 QUANTILE, MARGIN, HOLD_OUT = 0.999, 1.2, 5
-#: Rows of the probability table that are broadcast at once (12 bytes each); ids of trusted documents that are (8 bytes each).
-SHARD_ROWS, LOOKUP_ROWS = 2_000_000, 500_000
-#: Distinct grams that a task holds before it passes them on.
-HELD_GRAMS = 1 << 20
+#: Ids of trusted documents, and languages, that are broadcast if they are so few (8 bytes an id, some 50 a language).
+LOOKUP_ROWS, LANGUAGES = 500_000, 100_000
+#: Distinct grams, and bytes of text, after which a part ends; bytes of text that are handled at a time.
+HELD_GRAMS, PART_BYTES, SLICE = 1 << 20, 64 << 20, 1 << 20
 
 
 def grams(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -66,45 +69,82 @@ def marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return picked.join(good, F.col("doc_id") == F.col("_id"), "left").select(*picked.columns, (is_good & ~out).alias("trusted"), (is_good & out).alias("held_out"))
 
 
-def gram_counts(texts: DataFrame) -> DataFrame:
-    """lang_key, gram, n: every gram of every text, with its number in trusted texts."""
+KEPT = ("doc_id", "lang", "text_hash", "held_out")
+
+
+def _blob(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+class _Grams:
+    """The distinct grams of some texts by language, with their numbers in trusted texts."""
+
+    def __init__(self):
+        self.held: dict[int, list] = {}
+        self.bytes = 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        _, tagged, keys, size = _keyed(batch)
+        self.bytes += int(size.sum())
+        good = np.repeat(batch.column("trusted").to_numpy(zero_copy_only=False), size)
+        found = np.unique(tagged)
+        trusted, m = np.unique(tagged[good], return_counts=True)
+        n = np.zeros(len(found), np.int64)
+        n[np.searchsorted(found, trusted)] = m
+        of, gram = _untag(found, keys)
+        for key in keys.tolist():
+            g, c = gram[of == key], n[of == key]
+            if key in self.held:
+                g, inverse = np.unique(np.concatenate([self.held[key][0], g]), return_inverse=True)
+                total = np.zeros(len(g), np.int64)
+                np.add.at(total, inverse, np.concatenate([self.held[key][1], c]))
+                c = total
+            self.held[key] = [g, c]
+
+    def full(self, most: int) -> bool:
+        return self.bytes >= PART_BYTES or sum(len(g) for g, _ in self.held.values()) >= most
+
+
+PARTS = "part long, lang_key long, gram long, n long, blob binary"
+
+
+def parts(texts: DataFrame, held_grams: int = HELD_GRAMS, size: int = SLICE) -> DataFrame:
+    """PARTS: a row with n for each distinct gram of each part of the texts, and rows with a blob that hold the part's texts."""
+    names = [c.split()[0] for c in PARTS.split(", ")]
 
     def run(batches):
-        held: dict[int, list] = {}
+        from pyspark import TaskContext
+
+        first, seq, held = TaskContext.get().partitionId() << 32, 0, _Grams()
 
-        def flush():
-            for key, (gram, n) in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), key, np.int64)), pa.array(gram), pa.array(n)], ["lang_key", "gram", "n"])
-            held.clear()
+        def end():
+            for key, (gram, n) in held.held.items():
+                m = len(gram)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, first + seq)), pa.array(np.full(m, key, np.int64)), pa.array(gram), pa.array(n), pa.nulls(m, pa.binary())], names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            _, all_offs = textnum.text_bytes(batch.column("text"))
-            for i, j in textnum.slices(all_offs, 2 << 20):
-                part = batch.slice(i, j - i)
-                _, tagged, keys, size = _keyed(part)
-                good = np.repeat(part.column("trusted").to_numpy(zero_copy_only=False), size)
-                found, n = np.unique(tagged, return_counts=True)
-                trusted, m = np.unique(tagged[good], return_counts=True)
-                n[:] = 0
-                n[np.searchsorted(found, trusted)] = m
-                of, gram = _untag(found, keys)
-                for key in keys.tolist():
-                    mine = of == key
-                    g, c = gram[mine], n[mine].astype(np.int64)
-                    if key in held:
-                        g, inverse = np.unique(np.concatenate([held[key][0], g]), return_inverse=True)
-                        total = np.zeros(len(g), np.int64)
-                        np.add.at(total, inverse, np.concatenate([held[key][1], c]))
-                        c = total
-                    held[key] = [g, c]
-            if sum(len(g) for g, _ in held.values()) > HELD_GRAMS:
-                yield from flush()
-        yield from flush()
-
-    made = texts.select("lang_key", "trusted", "text").mapInArrow(run, "lang_key long, gram long, n long")
-    return made.groupBy("lang_key", "gram").agg(F.sum("n").alias("n"))
+            _, offs = textnum.text_bytes(batch.column("text"))
+            for i, j in textnum.slices(offs, size):
+                piece = batch.slice(i, j - i)
+                held.add(piece)
+                none = pa.nulls(1, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([first + seq]), none, none, none, pa.array([_blob(piece)], pa.binary())], names)
+                if held.full(held_grams):
+                    yield from end()
+                    seq, held = seq + 1, _Grams()
+        yield from end()
+
+    return texts.select(*KEPT, "lang_key", "trusted", "text").mapInArrow(run, PARTS)
+
+
+def gram_counts(made: DataFrame) -> DataFrame:
+    """lang_key, gram, n: every gram of every part, with its number in trusted texts."""
+    return made.filter("n is not null").groupBy("lang_key", "gram").agg(F.sum("n").alias("n"))
 
 
 def _lower(gram: str, order: int) -> Column:
@@ -119,6 +159,7 @@ def probabilities(counts: DataFrame) -> DataFrame:
     for k in range(ORDER - 1, 0, -1):
         counted[k] = materialize(counted[k + 1].groupBy("lang_key", _lower("gram", k).alias("gram")).agg(F.count("*").alias("c")), f"order{k}")
         occurring[k] = occurring[k + 1].select("lang_key", _lower("gram", k).alias("gram")).distinct()
+    per_language = F.broadcast if counted[1].select("lang_key").distinct().count() <= LANGUAGES else (lambda x: x)
     p = occurring[1].join(counted[1].select("lang_key").distinct(), "lang_key", "left_semi").select("lang_key", F.lit(0).cast("long").alias("gram"), F.lit(1.0 / BYTE).alias("p")).distinct()
     for k in range(1, ORDER + 1):
         n = [F.count_if(F.col("c") == i) for i in (1, 2, 3, 4)]
@@ -127,7 +168,7 @@ def probabilities(counts: DataFrame) -> DataFrame:
         guarded = [F.when((n[0] > 0) & (n[i] > 0) & (n[1] + n[0] > 0), steps[i]).otherwise(F.lit(0.5 * (i + 1))) for i in range(3)]
         discounts = counted[k].groupBy("lang_key").agg(*[g.alias(f"d{i + 1}") for i, g in enumerate(guarded)])
         d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        cut = counted[k].join(F.broadcast(discounts), "lang_key").select("lang_key", "gram", "c", F.least(d, F.col("c").cast("double")).alias("d"))
+        cut = counted[k].join(per_language(discounts), "lang_key").select("lang_key", "gram", "c", F.least(d, F.col("c").cast("double")).alias("d"))
         contexts = cut.groupBy("lang_key", F.shiftright("gram", 8).alias("context")).agg(F.sum("c").alias("total"), F.sum("d").alias("left"))
         own = occurring[k].join(cut, ["lang_key", "gram"], "left").withColumn("context", F.shiftright("gram", 8)).withColumn("shorter", _lower("gram", k - 1))
         own = own.join(contexts, ["lang_key", "context"], "left")
@@ -169,69 +210,71 @@ class Lookup:
         return np.where(hit, self.values[at], 0), hit
 
 
-KEPT = ("doc_id", "lang", "text_hash", "held_out")
-
-_lookups: dict[int, tuple] = {}
-
-
-def _looked_up(shared) -> tuple[dict, Lookup]:
-    """The worker's tables of a broadcast shard: the numbers of the languages, and the probabilities; one shard is kept."""
-    if shared.id not in _lookups:
-        _lookups.clear()
-        key, gram, logp = shared.value
-        langs = np.unique(key)
-        _lookups[shared.id] = {k: i for i, k in enumerate(langs.tolist())}, Lookup(gram | (np.searchsorted(langs, key) << (8 * ORDER)), logp)
-    return _lookups[shared.id]
+def _answers(asked: DataFrame, logp: DataFrame) -> DataFrame:
+    """part, blob (numbers of grams, languages and log probabilities) of the parts' grams, several rows for a part."""
 
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                part, key, gram, value = (batch.column(c).to_numpy() for c in ("part", "lang_key", "gram", "logp"))
+                order = np.argsort(part, kind="stable")
+                ids, starts = np.unique(part[order], return_index=True)
+                blobs = [np.concatenate([key[o], gram[o], value[o].view(np.int64)]).tobytes() for o in np.split(order, starts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(blobs, pa.binary())], ["part", "blob"])
 
-class Shard:
-    """One broadcast shard, as workers see it."""
-
-    def __init__(self, broadcast):
-        self.id, self.broadcast = broadcast._jbroadcast.id() if broadcast._jbroadcast is not None else 0, broadcast
+    joined = asked.join(logp, ["lang_key", "gram"]).select("part", "lang_key", "gram", "logp").sortWithinPartitions("part")
+    return joined.mapInArrow(run, "part long, blob binary")
 
-    @property
-    def value(self):
-        return self.broadcast.value
 
-    def __getstate__(self):
-        return {"id": self.id, "broadcast": self.broadcast}
+class _Table:
+    """The answers of one part: log probabilities by language and gram."""
 
+    def __init__(self, blobs: list[bytes]):
+        cells = [np.frombuffer(b, np.int64).reshape(3, -1) for b in blobs]
+        key, gram, value = np.concatenate(cells, axis=1) if cells else np.zeros((3, 0), np.int64)
+        langs = np.unique(key)
+        self.numbers = {k: i for i, k in enumerate(langs.tolist())}
+        self.lookup = Lookup(gram | (np.searchsorted(langs, key) << (8 * ORDER)), value.view(np.float64).astype(np.float32))
 
-def _partial_scores(texts: DataFrame, shard: Shard) -> DataFrame:
-    def run(batch: pa.RecordBatch):
-        numbers, lookup = _looked_up(shard)
+    def scores(self, batch: pa.RecordBatch) -> pa.RecordBatch:
         offs, tagged, keys, size = _keyed(batch)
-        there = np.array([numbers.get(k, -1) for k in keys.tolist()], np.int64)
+        there = np.array([self.numbers.get(k, -1) for k in keys.tolist()], np.int64)
         number = there[(tagged >> np.uint64(8 * ORDER)).astype(np.int64)]
         code = (tagged & np.uint64((1 << 8 * ORDER) - 1)).astype(np.int64) | (number << (8 * ORDER))
         code[number < 0] = -2
-        value, hit = lookup.get(code)
+        value, hit = self.lookup.get(code)
         sums, hits = (np.concatenate([[0], np.cumsum(x, dtype=np.float64)]) for x in (value, hit))
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in KEPT], pa.array(size), pa.array(sums[offs[1:]] - sums[offs[:-1]]), pa.array((hits[offs[1:]] - hits[offs[:-1]]).astype(np.int64))], [*KEPT, "n_bytes", "logp", "hits"])
-
-    return map_texts(texts.select(*KEPT, "lang_key", "text"), run, "doc_id long, lang string, text_hash long, held_out boolean, n_bytes long, logp double, hits long", limit=2 << 20)
+        found = [pa.array(size), pa.array(sums[offs[1:]] - sums[offs[:-1]]), pa.array((hits[offs[1:]] - hits[offs[:-1]]).astype(np.int64))]
+        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in KEPT], *found], [*KEPT, "n_bytes", "logp", "hits"])
+
+
+def _scored(batches):
+    """The scores of the texts in rows (part, is_text, blob), which come ordered by part and is_text."""
+    part, blobs, table = None, [], None
+    for batch in batches:
+        for p, is_text, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if p != part:
+                part, blobs, table = p, [], None
+            if not is_text:
+                blobs.append(blob.as_py())
+                continue
+            if table is None:
+                table, blobs = _Table(blobs), []
+            with pa.ipc.open_stream(blob.as_buffer()) as texts:
+                for piece in texts:
+                    yield table.scores(piece)
 
 
-def perplexities(texts: DataFrame) -> DataFrame:
+def perplexities(texts: DataFrame, held_grams: int = HELD_GRAMS, size: int = SLICE) -> DataFrame:
     """doc_id, lang, text_hash, held_out, n_bytes, perplexity (null without a model or text) of each row."""
-    sc = texts.sparkSession.sparkContext
-    counts = materialize(gram_counts(texts), "grams")
-    logp = materialize(probabilities(counts), "logp")
-    shards = max(1, -(-logp.count() // SHARD_ROWS))
-    parts = []
-    for s in range(shards):
-        own = logp.filter(F.pmod(F.xxhash64("lang_key", "gram"), F.lit(shards)) == s) if shards > 1 else logp
-        got = own.toArrow()
-        shard = Shard(sc.broadcast((got["lang_key"].to_numpy(), got["gram"].to_numpy(), got["logp"].to_numpy().astype(np.float32))))
-        parts.append(materialize(_partial_scores(texts, shard), "scores"))
-    out = parts[0]
-    if shards > 1:
-        for p in parts[1:]:
-            out = out.union(p)
-        ways = out.groupBy(*KEPT)
-        out = ways.agg(F.max("n_bytes").alias("n_bytes"), F.sum("logp").alias("logp"), F.sum("hits").alias("hits"), F.count("*").alias("rows"))
-        out = out.withColumn("copies", F.col("rows") / shards).select(*KEPT, "n_bytes", (F.col("logp") / F.col("copies")).alias("logp"), (F.col("hits") / F.col("copies")).alias("hits"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("col")
+    made = materialize(parts(texts, held_grams, size), "parts")
+    counts = materialize(gram_counts(made), "grams")
+    logp = probabilities(counts)
+    answers = _answers(made.filter("n is not null").select("part", "lang_key", "gram"), logp)
+    both = answers.withColumn("is_text", F.lit(False)).select("part", "is_text", "blob").union(made.filter("blob is not null").select("part", F.lit(True), "blob"))
+    dealt = both.repartition("part").sortWithinPartitions("part", "is_text")
+    out = materialize(dealt.mapInArrow(_scored, "doc_id long, lang string, text_hash long, held_out boolean, n_bytes long, logp double, hits long"), "scores")
+    drop(made, counts)
     scored = F.when((F.col("n_bytes") > 0) & (F.col("hits") == F.col("n_bytes")), F.exp(-F.col("logp") / F.col("n_bytes")))
     return out.select(*KEPT, "n_bytes", scored.alias("perplexity"))
 
@@ -239,10 +282,13 @@ def perplexities(texts: DataFrame) -> DataFrame:
 def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, text_hash, n_bytes, perplexity, threshold and kept for each row of `docs`."""
     scored = perplexities(marked(docs, labels))
-    rounded = F.round(F.log("perplexity"), 3)
-    limits = scored.filter("held_out and perplexity is not null").groupBy("lang").agg((F.exp(F.percentile(rounded, F.lit(QUANTILE))) * MARGIN).alias("threshold"))
-    limits = limits.withColumnRenamed("lang", "_lang")
-    out = scored.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    limit = (F.exp(F.percentile(F.round(F.log("perplexity"), 3), F.lit(QUANTILE))) * MARGIN).alias("limit")
+    held_out = scored.filter("held_out and perplexity is not null")
+    limits = held_out.groupBy("lang").agg(limit).withColumnRenamed("lang", "_lang")
+    limits = F.broadcast(limits) if limits.count() <= LANGUAGES else limits
+    out = scored.join(limits, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    pooled = F.lit(held_out.agg(limit).first()["limit"]).cast("double")
+    out = out.withColumn("threshold", F.when(F.col("perplexity").isNotNull(), F.coalesce("limit", pooled)))
     return out.select("doc_id", "lang", "text_hash", "n_bytes", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))
 
 
