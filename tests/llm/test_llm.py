@@ -143,6 +143,49 @@ def test_only_contradicting_windows_are_dropped(spark):
     assert found(spark, merged.replace("4 blue", "6 blue"), merged) == [0]
 
 
+def test_values_may_become_equal(spark):
+    item = "Alice has 3 apples and Bob gives her 5 more of them after the long walk home from the old market in town"
+    merged = item.replace("3 apples", "4 apples").replace("5 more", "4 more")
+    train = "A train leaves at 10 km per hour and then another train leaves at 15 km per hour from the same small station"
+    assert found(spark, item, merged, item.replace("3", "7").replace("5", "9")) == [0, 1]
+    assert found(spark, train, train.replace("10", "20").replace("15", "20"), train.replace("10", "15").replace("then another train leaves at 15", "then another train leaves at 20")) == [0, 1]
+
+
+def test_short_items_beside_long_ones(spark):
+    bench = spark.createDataFrame([(1, "one two three four five"), (2, "a b c d e f g h i j"), (3, "six of the best words here"), (4, "a b c d e f g h i j")], "item_id long, text string")
+    texts = ["x one two three four five y", "a b c d e f g h i j", "zero six of the best words here. done", "a b c d e z f g h i j", "one two three four"]
+    got = sorted((r.doc_id, r.item_id, r.matched, r.windows) for r in decontaminate.matches(documents(spark, texts), bench).collect())
+    assert got == [(0, 1, 1, 1), (1, 2, 3, 3), (1, 4, 3, 3), (2, 3, 1, 1)]
+
+
+def plain_contaminations(item, text, size=8):
+    """The share of the windows of an item without slots or capitals that a text has, word by word."""
+    a, b = item.split(), text.split()
+    size = min(size, len(a))
+    windows = [tuple(a[i : i + size]) for i in range(len(a) - size + 1)]
+    there = {tuple(b[i : i + size]) for i in range(len(b) - size + 1)}
+    return sum(w in there for w in windows), len(windows)
+
+
+def test_words_equal_brute_force(spark):
+    rng = random.Random(12)
+    items = [" ".join(words(n, 500 + n)) for n in (5, 7, 8, 12, 30)]
+    texts = []
+    for i in range(40):
+        w = items[i % 5].split()
+        for _ in range(i % 4):
+            w[rng.randrange(len(w))] = rng.choice(VOCABULARY)
+        texts.append(" ".join([*words(20, i), *w, *words(5, i + 99)]))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = set()
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            m, n = plain_contaminations(item, text)
+            if 2 * m >= n and m:
+                want.add((d, i, m, n))
+    assert {(r.doc_id, r.item_id, r.matched, r.windows) for r in decontaminate.matches(documents(spark, texts), bench).collect()} == want and len(want) >= 15
+
+
 def test_slots_stand_where_their_windows_do(spark):
     item = "the stall sells 2 kg and 3 kg and 7 kg of old flour to every baker in this town"
     before = ["we met Anna's friend and", "he asked Smith-jones here and", "mail to John.smith@site.org then"]
@@ -335,15 +378,15 @@ def kneser_ney(texts, order=language_model.ORDER):
     return p
 
 
-@pytest.mark.parametrize(("held", "size"), [(1 << 20, 2 << 20), (100, 300)])
-def test_perplexities_equal_brute_force(spark, held, size):
+@pytest.mark.parametrize(("held", "size", "most"), [(1 << 20, 2 << 20, 10**6), (100, 300, 10**6), (1 << 20, 2 << 20, 0), (100, 300, 0)])
+def test_perplexities_equal_brute_force(spark, held, size, most):
     texts = [" ".join(words(40, i)) for i in range(12)] + ["Ünïcode ##!! 99", "", None, " ".join(words(40, 1))]
     d, known = documents(spark, texts), labels(spark, [(i, 1, 0) for i in range(10)])
     marked = language_model.marked(d, known)
     trained = [r.text for r in marked.filter("trusted").collect()]
     p = kneser_ney(trained)
     assert language_model.parts(marked, held, size).filter("n is null").select("part").distinct().count() > (4 if held == 100 else 0)
-    got = {r.doc_id: r.perplexity for r in language_model.perplexities(marked, held, size).collect()}
+    got = {r.doc_id: r.perplexity for r in language_model.perplexities(marked, held, size, most).collect()}
     for i, t in enumerate(texts):
         b = bytes(language_model.ORDER - 1) + (t or "").encode()
         grams = [b[j : j + language_model.ORDER] for j in range(len(b) - language_model.ORDER + 1)]

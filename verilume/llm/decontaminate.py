@@ -4,8 +4,8 @@ Documents and benchmark items become sequences of tokens, in which numbers, unit
 words inside a sentence) are typed placeholders and all else is in small letters. Other capitalised words (which begin a text,
 sentence, line or quotation) are words in one reading and names in another, on both sides; the windows of both are used. Windows of WINDOW template tokens (a shorter
 item is one window) are hashed and joined. The matched windows of one document, item and alignment count only if their slots
-are consistent: each value of the item stands for one value in the document and the other way round. Where slots contradict each
-other, the values with the most matched windows hold and only the windows over the other slots are dropped; a slot with the
+are consistent: each value of the item stands for one value in the document (two values of the item may stand for the same one). Where
+slots contradict each other, the values with the most matched windows hold and only the windows over the other slots are dropped; a slot with the
 item's own value always counts. So a question with other numbers, names or units is caught, and a chance match of shapes
 with contradicting values isn't.
 
@@ -44,51 +44,45 @@ def _marked(text: str) -> Column:
     """The text in small letters with its slots marked; its tokens are what lies between other characters than letters, digits and marks.
     The steps for numbers run only on texts with a number."""
     text = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    out = F.when(text.rlike(f"[{OPEN}-{FIRST}]"), F.translate(text, OPEN + VALUE + POINT + FIRST, "    ")).otherwise(text)
+    has_marks = F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(VALUE)) | F.contains(text, F.lit(POINT)) | F.contains(text, F.lit(FIRST))
+    out = F.when(has_marks, F.translate(text, OPEN + VALUE + POINT + FIRST, "    ")).otherwise(text)
     units = "|".join(sorted(UNITS, key=len, reverse=True))
-    number = F.regexp_replace(out, r"(?<=\p{N})[.,](?=\p{N})", POINT)
+    number = F.regexp_replace(out, r"[.,](?<=\p{N}[.,])(?=\p{N})", POINT)
     number = F.regexp_replace(number, r"(?<![\p{L}\p{N}])(\p{N}[\p{N}" + POINT + r"]*)(?=(?i:" + units + r")?(?![\p{L}\p{N}]))", f" {OPEN}num{VALUE}$1 ")
     number = F.regexp_replace(number, r"(?<=\p{N} )\s*(?i:(" + units + r"|[%$€£]))(?![\p{L}\p{N}])", f"{OPEN}unit{VALUE}$1 ")
     out = F.when(text.rlike(r"\p{N}"), number).otherwise(out)
-    out = F.regexp_replace(out, r"(\p{Lu})(?<=[\p{L}\p{N},;] \p{Lu})", f"{OPEN}name{VALUE}$1")
-    return F.lower(F.regexp_replace(out, r"(\p{Lu})(?<![\p{L}\p{N}%$€£" + VALUE + r"]\p{Lu})", f"{FIRST}$1"))
+    out = F.regexp_replace(out, r"(\p{Lu})(?<![\p{L}\p{N}%$€£" + VALUE + r"]\p{Lu})", f"{FIRST}$1")
+    return F.lower(F.regexp_replace(out, FIRST + r"(?<=[\p{L}\p{N},;] " + FIRST + ")", f"{OPEN}name{VALUE}"))
 
 
 def _tokens(marked: Column) -> Column:
     return F.array_remove(F.split(marked, r"[^\p{L}\p{N}%$€£" + OPEN + VALUE + POINT + FIRST + "]+"), "")
 
 
-def _once(value: Column, then) -> Column:
-    """then(value), with the value computed once however often it is used."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
-def _windows(tokens: Column | str, size: int) -> Column:
-    """The hash of each run of `size` template tokens, in order, with the words of FIRST as they are; then again for each run with those words
-    as names, null where that is the same. Hashes of runs of 2, 4 and so on are made from halves, the rest is added."""
-
-    def joined(a: Column, b: Column, apart: int) -> Column:
-        return F.zip_with(a, F.slice(b, apart + 1, F.greatest(F.size(b) - apart, F.lit(0))), lambda x, y: F.xxhash64(x, y))
-
-    def grow(single: Column, run: Column, have: int) -> Column:
-        if have == size:
-            return F.slice(run, 1, F.greatest(F.size(run) - size + 1, F.lit(0)))
-        if 2 * have <= size:
-            return _once(joined(run, run, have), lambda longer: grow(single, longer, 2 * have))
-        return _once(joined(run, single, have), lambda longer: grow(single, longer, have + 1))
-
-    tokens = F.col(tokens) if isinstance(tokens, str) else tokens
-    words = F.transform(tokens, lambda t: F.xxhash64(F.when(t.startswith(FIRST), F.substr(t, F.lit(2))).otherwise(F.substring_index(t, VALUE, 1))))
-    names = lambda one: F.zip_with(tokens, one, lambda t, h: F.when(t.startswith(FIRST), F.xxhash64(F.lit(f"{OPEN}name"))).otherwise(h))
-    whole = lambda one: _once(one, lambda x: grow(x, x, 1))
-    both = lambda one: _once(whole(one), lambda a: F.concat(a, F.zip_with(whole(names(one)), a, lambda n, w: F.when(n != w, n))))
-    return _once(words, both)
-
-
-def _placed(df: DataFrame, size: int, *keys: str) -> DataFrame:
-    """keys, at (its place) and window of every window of the column tokens, under both readings."""
-    out = df.select(*keys, (F.size("tokens") - size + 1).alias("_n"), F.posexplode(_windows("tokens", size)).alias("_at", "window"))
-    return out.filter("window is not null").select(*keys, F.pmod("_at", "_n").alias("at"), "window")
+def _hashes(tokens: Column) -> Column:
+    """A number for each template token; odd for the words of FIRST, even for all else."""
+    first = lambda t: F.xxhash64(F.substr(t, F.lit(2))).bitwiseOR(F.lit(1).cast("long"))
+    template = lambda t: F.when(t.startswith(OPEN), F.xxhash64(F.substring_index(t, VALUE, 1))).otherwise(F.xxhash64(t))
+    even = F.lit(-2).cast("long")
+    return F.transform(tokens, lambda t: F.when(t.startswith(FIRST), first(t)).otherwise(template(t).bitwiseAND(even)))
+
+
+def _windows(df: DataFrame, sizes: list[int], *keys: str) -> DataFrame:
+    """keys, at (its place) and window of every window of the column tokens, for all sizes: with the words of FIRST as words, and
+    once more with them as names, where that differs. Places are exploded with their neighbours side by side, and hashed then."""
+    most = max(sizes)
+    near = df.select(*keys, _hashes(F.col("tokens")).alias("_h"))
+    shifted = [F.slice("_h", i + 1, F.greatest(F.size("_h") - i, F.lit(0))).alias(f"h{i}") for i in range(most)]
+    each = near.select(*keys, F.posexplode(F.arrays_zip(*shifted)).alias("at", "z"))
+    word = [F.col("z")[f"h{i}"] for i in range(most)]
+    name = F.xxhash64(F.lit(f"{OPEN}name")).bitwiseAND(F.lit(-2).cast("long"))
+    either = [F.when(w.bitwiseAND(F.lit(1).cast("long")) == 1, name).otherwise(w) for w in word]
+    made = []
+    for size in sizes:
+        as_words, as_names = (F.xxhash64(F.lit(size), *side[:size]) for side in (word, either))
+        whole = word[size - 1].isNotNull()
+        made += [F.when(whole, as_words), F.when(whole & (as_words != as_names), as_names)]
+    return each.select(*keys, "at", F.explode(F.array(*made)).alias("window")).filter("window is not null")
 
 
 def _slots(df: DataFrame, *keys: str) -> DataFrame:
@@ -100,19 +94,19 @@ def _slots(df: DataFrame, *keys: str) -> DataFrame:
 
 def _contradicting(pairs: DataFrame) -> DataFrame:
     """_doc_id, _text_hash, _item, _shift and _item_token of the slots whose values don't fit the others of their alignment and kind.
-    Pairs of values are taken by the matched windows on their slots, equal ones first among as many; a pair that shares one
-    of its values with a pair taken before contradicts, unless its values are equal."""
+    Pairs of values are taken by the matched windows on their slots, equal ones first among as many; a pair whose item value
+    was taken with another value before contradicts, unless its values are equal."""
     keys = ("doc_id", "text_hash", "item", "shift")
     exact = F.col("item_value").eqNullSafe(F.col("value"))
     each = pairs.groupBy(*keys, "kind", "item_value", "value").agg((-F.sum("covered")).alias("covered"), F.min("item_token").alias("first"), F.collect_list("item_token").alias("slots"))
     pair = F.struct("covered", (~exact).alias("other"), "first", F.col("item_value").alias("a"), F.col("value").alias("b"), "slots")
     each = each.groupBy(*keys, "kind").agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
-    state = F.struct(F.array().cast("array<string>").alias("a"), F.array().cast("array<string>").alias("b"), F.array().cast("array<int>").alias("bad"))
+    state = F.struct(F.array().cast("array<string>").alias("a"), F.array().cast("array<int>").alias("bad"))
 
     def step(was, p):
-        free = p["b"].isNotNull() & ~F.array_contains(was["a"], p["a"]) & ~F.array_contains(was["b"], F.coalesce(p["b"], F.lit("")))
-        take = F.struct(F.array_append(was["a"], p["a"]).alias("a"), F.array_append(was["b"], p["b"]).alias("b"), was["bad"].alias("bad"))
-        drop = F.struct(was["a"].alias("a"), was["b"].alias("b"), F.concat(was["bad"], p["slots"]).alias("bad"))
+        free = p["b"].isNotNull() & ~F.array_contains(was["a"], p["a"])
+        take = F.struct(F.array_append(was["a"], p["a"]).alias("a"), was["bad"].alias("bad"))
+        drop = F.struct(was["a"].alias("a"), F.concat(was["bad"], p["slots"]).alias("bad"))
         return F.when(free, take).when(p["other"], drop).otherwise(was)
 
     return each.select(*[F.col(c).alias(f"_{c}") for c in keys], F.explode(F.aggregate("pairs", state, step)["bad"]).alias("_item_token"))
@@ -125,18 +119,18 @@ def _hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = materialize(items.withColumn("item", F.xxhash64("item_id", "marked")), "items")
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # WINDOW - MIN_TOKENS + 1 numbers at most
     keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string"))
-    out = None
-    for size in sizes:
-        own = items.filter(F.col("size") == size)
-        grams = _placed(own.withColumn("windows", F.size("tokens") - size + 1), size, "item", "item_id", "windows").withColumnRenamed("at", "item_at")
-        grams = materialize(grams, "benchmark")
-        side = F.broadcast(grams) if grams.count() <= BROADCAST_ROWS else grams
-        rows = keyed.select("doc_id", "text_hash", _tokens(_marked("text")).alias("tokens")).filter(F.size("tokens") >= size)
-        found = _placed(rows, size, "doc_id", "text_hash").join(side, "window")
-        found = found.select("doc_id", "text_hash", "item", "item_id", "at", "item_at", "windows", F.lit(size).alias("size"))
-        out = found if out is None else out.union(found)
-    if out is None:
+    if not sizes:
         return keyed.select("doc_id", "text_hash", F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("long").alias("matched"), F.lit(0).alias("windows")).limit(0)
+    grams = None
+    for size in sizes:
+        own = items.filter(F.col("size") == size).withColumn("windows", F.size("tokens") - size + 1)
+        made = _windows(own, [size], "item", "item_id", "windows", "size").withColumnRenamed("at", "item_at")
+        grams = made if grams is None else grams.union(made)
+    grams = materialize(grams, "benchmark")
+    side = F.broadcast(grams) if grams.count() <= BROADCAST_ROWS else grams
+    rows = keyed.select("doc_id", "text_hash", _tokens(_marked("text")).alias("tokens"))
+    out = _windows(rows, sizes, "doc_id", "text_hash").join(side, "window")
+    out = out.select("doc_id", "text_hash", "item", "item_id", "at", "item_at", "windows", "size")
     found = materialize(out.withColumn("shift", F.col("at") - F.col("item_at")).distinct(), "windows")
 
     item_slots = materialize(_slots(items, "item"), "slots")
