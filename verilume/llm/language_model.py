@@ -1,13 +1,14 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of byte n-grams, one per language, trained on trusted text.
 
-One pass over all texts cuts them into parts, each with at most about HELD_GRAMS distinct ORDER-grams, and writes for each part its
-texts (compressed) and its distinct grams with their counts in trusted texts. The sums over the parts are the corpus table
-(lang_key, gram, n), as large as the corpus makes it. A gram is a number: its bytes, the oldest first, so that a
-context is gram >> 8 and the next lower order a mask. Each order's counts (raw at the top, distinct left extensions below),
-discounts, context sums and probabilities come from joins that are sharded by language and gram, and end in the log probability of
-every gram that occurs in any text. A last join by language and gram answers the parts' grams; the answers of a part and its texts meet
-in one task, which looks the texts' grams up. Nothing of all this passes through the driver or is broadcast, and a task holds
-the answers of one part and one slice of texts, whatever the corpus has.
+A gram is a number: its bytes, the oldest first, so that a context is gram >> 8 and the next lower order a mask. Trusted texts are counted
+in parts, whose sums are the table (lang_key, gram, n). Each order's counts (raw at the top, distinct left extensions below), discounts,
+context sums and probabilities come from joins that are sharded by language and gram.
+
+Scoring has two ways with the same results. The model itself is the probabilities of the grams seen in trusted texts and the weights
+of their contexts for what was not seen; while that has at most MODEL_ROWS rows (counted first) it is broadcast, and one scan scores all
+texts by it. Beyond, nothing is broadcast: a pass over all texts writes, in parts of about HELD_GRAMS distinct grams, the texts
+(compressed) and their grams; a join by language and gram gives the probability of every gram that occurs anywhere; a part's
+answers and its texts then meet in one task, which holds those of one part and one slice of texts, whatever the corpus has.
 
 One in HOLD_OUT trusted documents stays out of the training. A document is rejected if its perplexity exceeds its language's
 threshold: the QUANTILE of the perplexities of the documents held out, times MARGIN, since the quantile of few documents is about their
@@ -32,7 +33,9 @@ from verilume.llm.common import drop, materialize
 ORDER, BYTE = 5, 256
 QUANTILE, MARGIN, HOLD_OUT = 0.999, 1.2, 5
 #: Ids of trusted documents, and languages, that are broadcast if they are so few (8 bytes an id, some 50 a language).
-LOOKUP_ROWS, LANGUAGES = 500_000, 100_000
+LOOKUP_ROWS, LANGUAGES = 500_000, 50_000
+#: Rows of the model that are broadcast (20 bytes each; a worker's table of them has 24 to 48).
+MODEL_ROWS = 2_000_000
 #: Distinct grams, and bytes of text, after which a part ends; bytes of text that are handled at a time.
 HELD_GRAMS, PART_BYTES, SLICE = 1 << 20, 64 << 20, 1 << 20
 
@@ -111,8 +114,8 @@ class _Grams:
 PARTS = "part long, lang_key long, gram long, n long, blob binary"
 
 
-def parts(texts: DataFrame, held_grams: int = HELD_GRAMS, size: int = SLICE) -> DataFrame:
-    """PARTS: a row with n for each distinct gram of each part of the texts, and rows with a blob that hold the part's texts."""
+def parts(texts: DataFrame, held_grams: int = HELD_GRAMS, size: int = SLICE, with_texts: bool = True) -> DataFrame:
+    """PARTS: a row with n for each distinct gram of each part of the texts, and, on demand, rows with a blob that hold the part's texts."""
     names = [c.split()[0] for c in PARTS.split(", ")]
 
     def run(batches):
@@ -133,7 +136,8 @@ def parts(texts: DataFrame, held_grams: int = HELD_GRAMS, size: int = SLICE) ->
                 piece = batch.slice(i, j - i)
                 held.add(piece)
                 none = pa.nulls(1, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([first + seq]), none, none, none, pa.array([_blob(piece)], pa.binary())], names)
+                if with_texts:
+                    yield pa.RecordBatch.from_arrays([pa.array([first + seq]), none, none, none, pa.array([_blob(piece)], pa.binary())], names)
                 if held.full(held_grams):
                     yield from end()
                     seq, held = seq + 1, _Grams()
@@ -152,8 +156,12 @@ def _lower(gram: str, order: int) -> Column:
     return F.col(gram).bitwiseAND(F.lit(BYTE**order - 1).cast("long"))
 
 
-def probabilities(counts: DataFrame) -> DataFrame:
-    """lang_key, gram, logp for every gram in `counts`; languages without trusted text are left out."""
+LEAST = 1e-12
+
+
+def layers(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """For each order from 1 to ORDER: lang_key, gram, p of the grams in `counts`, and lang_key, context, weight (for grams of the context that
+    trusted texts don't have); languages without trusted text are left out."""
     counted = {ORDER: counts.filter("n > 0").select("lang_key", "gram", F.col("n").alias("c"))}
     occurring = {ORDER: counts.select("lang_key", "gram")}
     for k in range(ORDER - 1, 0, -1):
@@ -161,6 +169,7 @@ def probabilities(counts: DataFrame) -> DataFrame:
         occurring[k] = occurring[k + 1].select("lang_key", _lower("gram", k).alias("gram")).distinct()
     per_language = F.broadcast if counted[1].select("lang_key").distinct().count() <= LANGUAGES else (lambda x: x)
     p = occurring[1].join(counted[1].select("lang_key").distinct(), "lang_key", "left_semi").select("lang_key", F.lit(0).cast("long").alias("gram"), F.lit(1.0 / BYTE).alias("p")).distinct()
+    out = []
     for k in range(1, ORDER + 1):
         n = [F.count_if(F.col("c") == i) for i in (1, 2, 3, 4)]
         y = n[0] / (n[0] + 2 * n[1])
@@ -175,7 +184,23 @@ def probabilities(counts: DataFrame) -> DataFrame:
         own = own.join(p.select("lang_key", F.col("gram").alias("shorter"), F.col("p").alias("back")), ["lang_key", "shorter"])
         p = own.select("lang_key", "gram", F.coalesce((F.coalesce(F.col("c") - F.col("d"), F.lit(0.0)) + F.col("left") * F.col("back")) / F.col("total"), F.col("back")).alias("p"))
         p = materialize(p, f"p{k}")
-    return p.select("lang_key", "gram", F.log("p").alias("logp"))
+        out.append((p, contexts.select("lang_key", "context", (F.col("left") / F.col("total")).alias("weight"))))
+    return out
+
+
+def probabilities(counts: DataFrame) -> DataFrame:
+    """lang_key, gram, logp for every gram in `counts`."""
+    return layers(counts)[-1][0].select("lang_key", "gram", F.log(F.greatest("p", F.lit(LEAST))).alias("logp"))
+
+
+def model(counts: DataFrame) -> DataFrame:
+    """lang_key, kind, gram, value: log probabilities (kind: order - 1) and log weights of contexts (kind: ORDER + order - 1)."""
+    out = None
+    for k, (p, contexts) in enumerate(layers(counts)):
+        own = p.select("lang_key", F.lit(k).alias("kind"), "gram", F.log(F.greatest("p", F.lit(LEAST))).alias("value"))
+        own = own.union(contexts.select("lang_key", F.lit(ORDER + k), "context", F.log(F.greatest("weight", F.lit(LEAST)))))
+        out = own if out is None else out.union(own)
+    return out
 
 
 class Lookup:
@@ -210,6 +235,67 @@ class Lookup:
         return np.where(hit, self.values[at], 0), hit
 
 
+class Model:
+    """The broadcast model: numbers of its languages, and what `model` says, by kind, language and gram."""
+
+    def __init__(self, key: np.ndarray, kind: np.ndarray, gram: np.ndarray, value: np.ndarray):
+        langs = np.unique(key)
+        self.numbers = {k: i for i, k in enumerate(langs.tolist())}
+        self.lookup = Lookup(gram | (np.searchsorted(langs, key) << (8 * ORDER)) | (kind << 58), value)
+
+    def scores(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        offs, tagged, keys, size = _keyed(batch)
+        there = np.array([self.numbers.get(k, -1) for k in keys.tolist()], np.int64)
+        number = there[(tagged >> np.uint64(8 * ORDER)).astype(np.int64)]
+        gram = (tagged & np.uint64((1 << 8 * ORDER) - 1)).astype(np.int64)
+        logp, at = np.zeros(len(gram)), np.flatnonzero(number >= 0)
+        lang = number << (8 * ORDER)
+        for k in range(ORDER, 0, -1):
+            own = gram[at] & (BYTE**k - 1)
+            value, hit = self.lookup.get(own | lang[at] | (k - 1 << 58))
+            logp[at] += value
+            at, own = at[~hit], own[~hit]
+            logp[at] += self.lookup.get((own >> 8) | lang[at] | (ORDER + k - 1 << 58))[0]
+        logp[at] -= np.log(BYTE)
+        return _summed(batch, offs, size, logp, number >= 0)
+
+
+def _summed(batch: pa.RecordBatch, offs: np.ndarray, size: np.ndarray, logp: np.ndarray, hit: np.ndarray) -> pa.RecordBatch:
+    sums, hits = (np.concatenate([[0], np.cumsum(x, dtype=np.float64)]) for x in (logp, hit))
+    found = [pa.array(size), pa.array(sums[offs[1:]] - sums[offs[:-1]]), pa.array((hits[offs[1:]] - hits[offs[:-1]]).astype(np.int64))]
+    return pa.RecordBatch.from_arrays([*[batch.column(c) for c in KEPT], *found], [*KEPT, "n_bytes", "logp", "hits"])
+
+
+SCORES = "doc_id long, lang string, text_hash long, held_out boolean, n_bytes long, logp double, hits long"
+
+
+def _by_broadcast(texts: DataFrame, made: DataFrame, size: int) -> DataFrame:
+    got = made.toArrow()
+    cells = [got[c].to_numpy() for c in ("lang_key", "kind", "gram", "value")]
+    sent = texts.sparkSession.sparkContext.broadcast((cells[0], cells[1].astype(np.int64), cells[2], cells[3].astype(np.float32)))
+
+    def run(batches):
+        table = None
+        for batch in batches:
+            if batch.num_rows:
+                table = table or Model(*sent.value)
+                _, offs = textnum.text_bytes(batch.column("text"))
+                for i, j in textnum.slices(offs, size):
+                    yield table.scores(batch.slice(i, j - i))
+
+    return texts.select(*KEPT, "lang_key", "text").mapInArrow(run, SCORES)
+
+
+def _by_joins(texts: DataFrame, held_grams: int, size: int) -> DataFrame:
+    made = materialize(parts(texts, held_grams, size), "parts")
+    counts = materialize(gram_counts(made), "grams")
+    answers = _answers(made.filter("n is not null").select("part", "lang_key", "gram"), probabilities(counts))
+    both = answers.withColumn("is_text", F.lit(False)).select("part", "is_text", "blob").union(made.filter("blob is not null").select("part", F.lit(True), "blob"))
+    out = materialize(both.repartition("part").sortWithinPartitions("part", "is_text").mapInArrow(_scored, SCORES), "scores")
+    drop(made, counts)
+    return out
+
+
 def _answers(asked: DataFrame, logp: DataFrame) -> DataFrame:
     """part, blob (numbers of grams, languages and log probabilities) of the parts' grams, several rows for a part."""
 
@@ -242,10 +328,7 @@ class _Table:
         number = there[(tagged >> np.uint64(8 * ORDER)).astype(np.int64)]
         code = (tagged & np.uint64((1 << 8 * ORDER) - 1)).astype(np.int64) | (number << (8 * ORDER))
         code[number < 0] = -2
-        value, hit = self.lookup.get(code)
-        sums, hits = (np.concatenate([[0], np.cumsum(x, dtype=np.float64)]) for x in (value, hit))
-        found = [pa.array(size), pa.array(sums[offs[1:]] - sums[offs[:-1]]), pa.array((hits[offs[1:]] - hits[offs[:-1]]).astype(np.int64))]
-        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in KEPT], *found], [*KEPT, "n_bytes", "logp", "hits"])
+        return _summed(batch, offs, size, *self.lookup.get(code))
 
 
 def _scored(batches):
@@ -265,16 +348,16 @@ def _scored(batches):
                     yield table.scores(piece)
 
 
-def perplexities(texts: DataFrame, held_grams: int = HELD_GRAMS, size: int = SLICE) -> DataFrame:
+def perplexities(texts: DataFrame, held_grams: int = HELD_GRAMS, size: int = SLICE, model_rows: int = MODEL_ROWS) -> DataFrame:
     """doc_id, lang, text_hash, held_out, n_bytes, perplexity (null without a model or text) of each row."""
-    made = materialize(parts(texts, held_grams, size), "parts")
-    counts = materialize(gram_counts(made), "grams")
-    logp = probabilities(counts)
-    answers = _answers(made.filter("n is not null").select("part", "lang_key", "gram"), logp)
-    both = answers.withColumn("is_text", F.lit(False)).select("part", "is_text", "blob").union(made.filter("blob is not null").select("part", F.lit(True), "blob"))
-    dealt = both.repartition("part").sortWithinPartitions("part", "is_text")
-    out = materialize(dealt.mapInArrow(_scored, "doc_id long, lang string, text_hash long, held_out boolean, n_bytes long, logp double, hits long"), "scores")
-    drop(made, counts)
+    counts = materialize(gram_counts(parts(texts.filter("trusted"), held_grams, size, with_texts=False)), "grams")
+    few = counts.count() <= model_rows and counts.select("lang_key").distinct().count() <= LANGUAGES
+    made = materialize(model(counts), "model") if few else None
+    if few and made.count() <= model_rows:
+        out = materialize(_by_broadcast(texts, made, size), "scores")
+    else:
+        out = _by_joins(texts, held_grams, size)
+    drop(counts, *([made] if few else []))
     scored = F.when((F.col("n_bytes") > 0) & (F.col("hits") == F.col("n_bytes")), F.exp(-F.col("logp") / F.col("n_bytes")))
     return out.select(*KEPT, "n_bytes", scored.alias("perplexity"))
 
