@@ -231,6 +231,14 @@ def test_chat_windows_keep_system_and_budget(spark):
     assert all(r.repeated >= 1 for r in got[1:]) and sum(len(r.loss) for r in got) == 9
 
 
+def test_a_very_long_conversation_and_many_short_ones(spark):
+    rows = [(1, i, ["system", "user", "assistant"][min(2, i and 1 + i % 2)], f"turn {i} " + "w " * (i % 50)) for i in range(30_000)]
+    rows += [(10 + i, j, ["user", "assistant"][j], "x" * 2000) for i in range(1500) for j in (0, 1)]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(1)
+    windows = chat.format_chats(d)
+    assert {r[0]: tuple(r)[1:5] for r in chat.read_back(windows).collect()} == chats([(*r, None) for r in rows])
+
+
 @given(st.text(alphabet="\\<|n\nab"))
 def test_escapes(text):
     assert chat.unescape(chat.escape(text)) == text == chat.unescape(chat.escape(text, True))

@@ -5,7 +5,8 @@ roles) are escaped, which `unescape` reverses, so a text can't forge a mark. Run
 turns: a window ends before the turn with which its tokens would exceed BUDGET. Every window begins with the conversation's
 system turn (its first turn, if a system turn) and with as many of the turns before the span as fit in HISTORY tokens. The loss mask
 covers the texts of the assistant turns of the span; repeated turns are outside it, so each target counts once. A turn that
-exceeds the budget by itself has a window of its own and isn't cut.
+exceeds the budget by itself has a window of its own and isn't cut; a system turn that does is still repeated in full in every
+window of its conversation.
 
 A conversation is one ordered stream: rows are dealt out by conversation, sorted, and read in order with only the current
 window in memory, however long the conversation is.
@@ -24,8 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verilume.llm import textnum
+
 START, END = "<|im_start|>", "<|im_end|>"
 BUDGET, HISTORY = 1024, 256
+#: Bytes of text that are tokenized, and of windows that are passed on, at a time.
+BATCH = 1 << 20
 WINDOWS = "conv_id long, window long, text string, loss array<struct<start:long,end:long>>, n_tokens long, repeated long"
 _TURN = re.compile(re.escape(START) + r"(.*?)\n(.*?)" + re.escape(END) + "\n", re.S)
 
@@ -132,21 +137,27 @@ def format_chats(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY,
         def batch_of(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
+        def add(window):
+            nonlocal size
+            rows.append((key, *window))
+            size += len(window[1]) + 100
+
         for batch in batches:
-            ids, roles, texts = (batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))
-            roles, texts = [r or "" for r in roles], [t or "" for t in texts]
-            for i, role, text, tokens in zip(ids, roles, texts, count([written(r, t) for r, t in zip(roles, texts, strict=True)]) if ids else [], strict=True):
-                if state is None or i != key:
-                    if state is not None:
-                        rows.append((key, *state.close()))
-                    key, state = i, Windows(budget, history)
-                done = state.add(role, text, tokens)
-                if done:
-                    rows.append((key, *done))
-                    size += len(done[1])
-                if size > 1 << 20:
-                    yield batch_of(rows)
-                    rows, size = [], 0
+            _, offs = textnum.text_bytes(batch.column("text"))
+            for first, last in textnum.slices(offs, BATCH):
+                part = batch.slice(first, last - first)
+                ids, roles, texts = (part.column(c).to_pylist() for c in ("conv_id", "role", "text"))
+                roles, texts = [r or "" for r in roles], [t or "" for t in texts]
+                for i, role, text, tokens in zip(ids, roles, texts, count([written(r, t) for r, t in zip(roles, texts, strict=True)]), strict=True):
+                    if state is None or i != key:
+                        if state is not None:
+                            add(state.close())
+                        key, state = i, Windows(budget, history)
+                    if done := state.add(role, text, tokens):
+                        add(done)
+                    if size > BATCH:
+                        yield batch_of(rows)
+                        rows, size = [], 0
         if state is not None:
             rows.append((key, *state.close()))
         if rows:
@@ -168,7 +179,7 @@ def read_back(windows: DataFrame) -> DataFrame:
             rows.append((key, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for one in range(batch.num_rows) for r in batch.slice(one, 1).to_pylist()):
                 if state is None or row["conv_id"] != key:
                     if state is not None:
                         end()
