@@ -112,6 +112,21 @@ def test_toxicity_learns_only_from_its_folds(spark, odd):
     assert {(r.doc_id, round(r.score, 9)) for r in toxicity.classify(d, flipped).collect()} == {(r.doc_id, round(r.score, 9)) for r in rows}
     assert toxicity.classify(odd, known).count() == odd.count()
     assert {r.predicted for r in toxicity.classify(d, known.limit(0)).collect()} == {0}
+    assert toxicity.classify(d.limit(0), known).count() == 0
+    twice = d.union(d.filter("doc_id < 50").withColumn("text", F.reverse("text")))
+    assert len({tuple(sorted((r.doc_id, round(r.score, 9)) for r in toxicity.classify(twice.repartition(n), known).collect())) for n in (1, 4)}) == 1
+
+
+def test_ratios_equal_brute_force(spark):
+    texts = ["good day", "bad day", "a bad man", "good man", None, ""]
+    buf, offs = textnum.text_bytes(pa.array(texts, pa.string()))
+    got = toxicity.distinct(*toxicity.buckets(buf, offs))
+    want = [len({w[i : i + k] for k in toxicity.GRAM_SIZES for w in [f" {t or ''} "] for i in range(len(w) - k + 1)}) for t in texts]
+    assert np.bincount(got[1], minlength=len(texts)).tolist() == want
+    weights = np.zeros(toxicity.FEATURES)
+    weights[got[0][got[1] == 1]] = 0.25
+    plain = [1 / (1 + np.exp(1 - 0.25 * len(set(got[0][got[1] == i]) & set(got[0][got[1] == 1])))) for i in range(len(texts))]
+    assert toxicity.Model(-1.0, weights).scores(buf, offs) == pytest.approx(plain)
 
 
 # 4

@@ -4,13 +4,14 @@ Features are the distinct runs of GRAM_SIZES bytes of a text in small ASCII lett
 ratio of a bucket compares its document frequency in toxic and other training rows; it is counted over all labelled training
 rows. Buckets that tell the classes apart (a ratio of MIN_RATIO and SIGNIFICANT standard errors, MIN_DOCS documents) form the model; a logistic
 regression over their ratio-scaled presence is fitted on at most SAMPLE rows of each class, taken in the order of a hash of
-the id. A score is the sigmoid of the sum over a whole text; the bias is the score of an empty text.
+the id: the driver holds one number (8 bytes) for each of their features that is in the model, FEATURES a row at most. A score is the sigmoid of the sum over a whole text; the bias is the score of an empty text.
 
 Rows whose crc32 of the id in decimal is 0 modulo FOLDS are never learnt from. Labels, languages, sources and ids are no inputs.
 
 Defined results: null and empty texts get the bias's score; rows with null ids are scored, and not held out (they have no
-label either); repeated ids and rows are scored row by row; without labelled rows of both classes every score is 0; extra
-columns are ignored.
+label either); repeated ids and rows are scored row by row; of the texts with one id in the
+sample, the one with the smallest features is taken; without labelled rows of both classes every score is that of -30, about 1e-13; extra
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -147,7 +148,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         lists = np.split(both % FEATURES, np.searchsorted(both // FEATURES, np.arange(1, batch.num_rows)))
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic").cast(pa.int32()), pa.array([x.tolist() for x in lists], pa.list_(pa.int64()))], ["id", "toxic", "at"])
 
-    rows = map_texts(picked, features, "id long, toxic int, at array<long>").dropDuplicates(["id"]).orderBy("id").toArrow()
+    one = map_texts(picked, features, "id long, toxic int, at array<long>").groupBy("id").agg(F.min(F.struct("toxic", "at")).alias("m"))
+    rows = one.select("id", "m.*").orderBy("id").toArrow()
     lists = rows["at"].combine_chunks()
     at = np.repeat(np.arange(len(lists), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
     bias, w = logistic(at, lists.flatten().to_numpy().astype(np.int32), rows["toxic"].to_numpy().astype(np.int64), ratio, n1 / (n0 + n1))
