@@ -37,6 +37,9 @@ SECRETS = [
     (r"(?i)(bearer\s+)([a-zA-Z0-9_.-]+)", "$1***REDACTED***"),
 ]
 
+#: What a text must have, in small letters, for each pattern of SECRETS to find anything.
+SECRET_LITERALS = ["sk-", "sk-ant-", "api", "token", "password", "secret", "bearer"]
+
 #: What users are told about an exception class.
 SAFE_MESSAGES = {
     "ConnectionError": "Unable to connect to external service",
@@ -58,18 +61,36 @@ def _stopped(words: Column) -> Column:
     return F.filter(words, lambda p: (p != "") & ~p.isin(*STOP_WORDS))
 
 
-def lexical_tokens(text: Column | str) -> Column:
-    """Words in small letters without stop words; compounds also give their parts (snake parts once more by the camel rule)."""
+def _compound_terms(word: Column) -> Column:
+    """The word in small letters and, once for each rule that parts it, its parts without stop words."""
+    low = F.lower(word)
+    camel = F.regexp_replace(F.regexp_replace(word, "([a-z])([A-Z])", "$1_$2"), "([A-Z]+)([A-Z][a-z])", "$1_$2")
+    none = F.array().cast("array<string>")
+    parts = F.when(F.contains(low, F.lit("_")), _stopped(F.split(low, "_"))).otherwise(none)
+    more = F.when(F.contains(camel, F.lit("_")), _stopped(F.split(F.lower(camel), "_"))).otherwise(none)
+    return F.concat(F.array(low), parts, more)
+
+
+def word_terms(word: Column) -> Column:
+    """The terms of one word; most words are plain, and only the others meet the rules for compounds."""
+    low = F.lower(word)
+    plain = (low == word) & ~F.contains(word, F.lit("_"))
+    compound = F.when(word.rlike("_|[a-z][A-Z]|[A-Z][A-Z][a-z]"), _compound_terms(word)).otherwise(F.array(low))
+    return F.when(plain, F.array(low)).otherwise(compound)
+
+
+def words(text: Column | str) -> Column:
+    return F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(WORD), F.lit(0))
 
-    def of(tok: Column) -> Column:
-        low = F.lower(tok)
-        camel = F.regexp_replace(F.regexp_replace(tok, "([a-z])([A-Z])", "$1_$2"), "([A-Z]+)([A-Z][a-z])", "$1_$2")
-        none = F.array().cast("array<string>")
-        parts = F.when(F.contains(low, F.lit("_")), _stopped(F.split(low, "_"))).otherwise(none)
-        more = F.when(F.contains(camel, F.lit("_")), _stopped(F.split(F.lower(camel), "_"))).otherwise(none)
-        return F.when(low.isin(*STOP_WORDS), none).otherwise(F.concat(F.array(low), parts, more))
 
-    return F.flatten(F.transform(F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(WORD), F.lit(0)), of))
+def is_stop_word(word: Column) -> Column:
+    return F.lower(word).isin(*STOP_WORDS)
+
+
+def lexical_tokens(text: Column | str) -> Column:
+    """Words in small letters without stop words; compounds also give their parts (snake parts once more by the camel rule). For whole
+    tables, `retrieval.terms` gives the same tokens as rows, which is faster."""
+    return F.flatten(F.transform(F.filter(words(text), lambda w: ~is_stop_word(w)), word_terms))
 
 
 def identifier_words(name: Column | str) -> Column:
@@ -85,9 +106,14 @@ def readable(words: Column | str) -> Column:
 
 
 def redacted(text: Column | str) -> Column:
+    """The text with its secrets replaced; a pattern runs only on texts that have its literal."""
+
+    def step(pattern: str, to: str, literal: str):
+        return lambda t: F.when(F.contains(F.lower(t), F.lit(literal)), F.regexp_replace(t, pattern, to)).otherwise(t)
+
     out = col(text)
-    for pattern, to in SECRETS:
-        out = F.regexp_replace(out, pattern, to)
+    for (pattern, to), literal in zip(SECRETS, SECRET_LITERALS, strict=True):
+        out = F.get(F.transform(F.array(out), step(pattern, to, literal)), F.lit(0))
     return out
 
 

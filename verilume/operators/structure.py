@@ -89,7 +89,7 @@ def heading_role(text: Column | str) -> Column:
 
 def classify(blocks: DataFrame) -> DataFrame:
     """`blocks` (with size and bold) with role: a heading by its words, else by its font, else body."""
-    at = blocks.join(F.broadcast(font_profile(blocks)), "paper_id", "left")
+    at = blocks.join(font_profile(blocks), "paper_id", "left")
     title = (F.col("page") == 0) & (F.length("text") < TITLE_CHARS) & (F.col("size") >= F.col("title") - 0.5) & (F.col("size") > F.col("body") + 0.5)
     header = (F.length("text") < HEADER_CHARS) & (F.col("size") > F.col("body") + 0.5) & (F.col("bold") | (F.col("size") > F.col("body") + 1))
     role = F.coalesce(heading_role("text"), F.when(title, "title").when(header, "section_header").otherwise("body"))
@@ -169,6 +169,22 @@ def line_sections(docs: DataFrame, key: str = "doc_id", text: str = "text", firs
     return each.unionByName(cut)
 
 
+#: Names that open a section when they stand alone in a line, with or without a number and a colon.
+KNOWN_SECTION = r"^(\d+\.?\s*)?(abstract|introduction|background|related work|methods?|methodology|experiments?|results|discussion|conclusions?|references)\s*:?$"
+
+
+def named_sections(docs: DataFrame, key: str = "doc_id", text: str = "text", whole: str = "Document") -> DataFrame:
+    """(key, section, name, content): lines under markdown headings and lines that are a known section's name; what comes before the first
+    (or a text without any) is named `whole`."""
+    lines = docs.select(F.col(key), F.posexplode(F.split(text, "\n", -1)).alias("seq", "line"))
+    head = F.col("line").rlike(r"^#{1,6}\s+\S") | F.lower(F.trim("line")).rlike(KNOWN_SECTION)
+    at = lines.withColumn("_head", head).withColumn("section", F.sum(F.col("_head").cast("int")).over(Window.partitionBy(key).orderBy("seq")))
+    said = F.sort_array(F.collect_list(F.when(~F.col("_head"), F.struct("seq", "line"))))
+    each = at.groupBy(key, "section").agg(F.max(F.when(F.col("_head"), F.trim(F.regexp_replace("line", r"^#+\s*", "")))).alias("name"), said.alias("parts"))
+    content = F.trim(F.array_join(F.transform("parts", lambda p: p["line"]), "\n"))
+    return each.select(key, "section", F.coalesce("name", F.lit(whole)).alias("name"), content.alias("content")).filter("content != ''")
+
+
 def is_important(name: Column | str) -> Column:
     """Whether a section may hold claims that code can be held against."""
     name = F.col(name) if isinstance(name, str) else name

@@ -39,7 +39,10 @@ def oracle_sql() -> dict[str, str]:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts in fewer splits than there are cores are dealt out to all of them (a large table has more and stays as it is)."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in ("documents", "pages") and df.rdd.getNumPartitions() < cores else df
 
 
 def asked(spark: SparkSession, sf_dir: str, name: str, key: str, text: str) -> DataFrame:
@@ -52,8 +55,7 @@ def asked(spark: SparkSession, sf_dir: str, name: str, key: str, text: str) -> D
 
 @query(f"SELECT doc_id, t AS term, count(*) AS tf FROM (SELECT doc_id, unnest({sql.lexical_tokens('text')}) AS t FROM documents) GROUP BY ALL")
 def lex01_tokens(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", F.explode(tx.lexical_tokens("text")).alias("term"))
-    return d.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    return retrieval.postings(read(spark, sf_dir, "documents"))
 
 
 @query(f"SELECT doc_id, {sql.redacted('text')} AS redacted FROM documents")
@@ -157,27 +159,6 @@ def chk10_text_windows(spark, sf_dir):
     return chunking.text_windows(read(spark, sf_dir, "documents")).select("doc_id", "chunk", "start_idx", "end_idx")
 
 
-@query()
-def chk05_chk07_section_chunks(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("section"), F.lit("Methods").alias("name"), F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")).alias("content"))
-    return chunking.section_chunks(d)
-
-
-@query()
-def chk09_page_windows(spark, sf_dir):
-    return chunking.page_windows(read(spark, sf_dir, "documents"))
-
-
-@query()
-def doc16_line_sections(spark, sf_dir):
-    return structure.line_sections(read(spark, sf_dir, "documents"))
-
-
-@query()
-def doc18_relevant_text(spark, sf_dir):
-    return structure.relevant_text(read(spark, sf_dir, "documents"), 3000)
-
-
 # Retrieval
 
 _Q_DOCS = f"SELECT item_id AS query_id, text AS query FROM benchmark WHERE item_id % {QUERY_STEP} = 0"
@@ -515,3 +496,6 @@ def ans01_references(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid search: BM25 and cosine neighbours, fused by reciprocal rank."""
     return fus01_fus02_hybrid(spark, sf_dir)
+
+
+from verilume.plans import catalog_audit, catalog_papers  # noqa: E402, F401  (they register their queries)
