@@ -40,7 +40,7 @@ DIMS = ("word_length", "symbols", "dup_lines", "repeats")
 #: but repeats just below MAX_REPEAT_PERCENT, or that many words in repeated lines of 12, must pass the CUTOFF alone.
 FLOORS = (0.25, 0.02, 0.12, 0.12)
 COVERAGE, CUTOFF, MIN_ROWS = 0.75, 0.9999, 50
-STARTS, TOLERANCE, BINS_PER_OCTAVE = 5, 1e-4, 256
+STARTS, TOLERANCE, BINS_PER_OCTAVE = 5, 1e-4, 64
 #: Groups whose models are broadcast (about 200 bytes for each start of one); more are joined by a shuffle.
 LOOKUP_GROUPS = 50_000
 
