@@ -5,7 +5,7 @@ All are built-in expressions, so they stay inside generated code and are pushed
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
@@ -208,8 +208,7 @@ def first_sentence(docs: Column) -> Column:
     return F.regexp_replace(F.get(good, F.lit(0)), r"\.+$", "")
 
 
-#: Code idioms and what they do, by group; a pattern counts as found where it stands as a whole identifier. Tables with a new
-#: group extend this one: `described_operations` takes any such list.
+#: Code idioms and what they do, by group. This is a core table; `described_operations` takes any longer list, and `idioms_from` reads one.
 IDIOMS = [
     ("reshape", "reshapes a tensor"), ("permute", "reorders tensor dimensions"), ("transpose", "swaps dimensions"), ("matmul", "matrix multiplication"),
     ("einsum", "Einstein summation"), ("softmax", "normalises scores to probabilities"), ("relu", "rectified linear activation"), ("sigmoid", "sigmoid activation"),
@@ -219,11 +218,35 @@ IDIOMS = [
     ("StandardScaler", "standardises features"), ("KFold", "k-fold cross-validation"), ("GridSearchCV", "grid search over hyperparameters"), ("PCA", "principal component analysis"),
     ("fillna", "fills missing values"), ("groupby", "groups rows by key"), ("merge", "joins tables"), ("solve_ivp", "solves an initial value problem"), ("fft", "fast Fourier transform"),
     ("autograd", "automatic differentiation"), ("sinkhorn", "optimal transport"), ("random_forest", "random forest"),
+    ("view(", "reshapes a tensor without copying"), ("squeeze", "removes dimensions of size one"), ("concatenate", "joins arrays along an axis"), ("torch.cat", "joins tensors along a dimension"),
+    ("torch.stack", "stacks tensors along a new dimension"), ("chunk(", "splits a tensor into pieces"), ("gather(", "picks elements by index"), ("scatter", "writes elements by index"),
+    ("broadcast_to", "repeats an array to a shape"), ("np.linalg.inv", "matrix inverse"), ("np.linalg.svd", "singular value decomposition"), ("eigh", "eigenvalues of a symmetric matrix"),
+    ("cholesky", "Cholesky decomposition"), ("lstsq", "least squares solution"), ("norm(", "vector or matrix norm"), ("cross_entropy", "cross-entropy loss"), ("nll_loss", "negative log-likelihood loss"),
+    ("kl_div", "Kullback-Leibler divergence"), ("smooth_l1", "smooth absolute error"), ("triplet", "triplet loss"), ("contrastive", "contrastive loss"), ("log_softmax", "log probabilities"), ("gelu", "Gaussian error linear activation"),
+    ("leaky_relu", "leaky rectified activation"), ("tanh", "hyperbolic tangent activation"), ("BatchNorm", "batch normalisation"), ("GroupNorm", "group normalisation"), ("Conv1d", "one-dimensional convolution"),
+    ("ConvTranspose", "transposed convolution"), ("LSTM", "long short-term memory layer"), ("GRU", "gated recurrent layer"), ("TransformerEncoder", "transformer encoder"), ("scaled_dot_product_attention", "scaled dot-product attention"),
+    ("AvgPool", "average pooling"), ("AdaptiveAvgPool", "pooling to a fixed size"), ("AdamW", "Adam optimiser with decoupled weight decay"), ("RMSprop", "RMSprop optimiser"), ("lr_scheduler", "learning rate schedule"),
+    ("CosineAnnealing", "cosine learning rate schedule"), ("clip_grad_norm", "gradient clipping"), ("zero_grad", "clears gradients"), ("backward()", "computes gradients"), ("no_grad", "turns gradients off"), ("DataLoader", "loads batches"),
+    ("RandomCrop", "random crop augmentation"), ("RandomHorizontalFlip", "random flip augmentation"), ("Normalize(", "normalises channels"), ("MinMaxScaler", "scales features to a range"), ("OneHotEncoder", "one-hot encoding"),
+    ("LabelEncoder", "encodes labels as numbers"), ("LogisticRegression", "logistic regression"), ("LinearRegression", "linear regression"), ("SVC", "support vector classifier"), ("KMeans", "k-means clustering"), ("DBSCAN", "density-based clustering"),
+    ("TSNE", "t-SNE embedding"), ("UMAP", "UMAP embedding"), ("XGB", "gradient-boosted trees"), ("LGBM", "gradient-boosted trees"), ("CatBoost", "gradient-boosted trees"), ("cross_val_score", "cross-validation scores"), ("roc_auc_score", "area under the ROC curve"),
+    ("f1_score", "F1 score"), ("accuracy_score", "accuracy"), ("confusion_matrix", "confusion matrix"), ("dropna", "drops missing values"), ("pivot", "reshapes a table"), ("rolling", "moving window statistics"), ("resample", "changes the time step of a series"),
+    ("interp", "interpolation"), ("minimize(", "numerical minimisation"), ("odeint", "integrates differential equations"), ("curve_fit", "fits a curve"), ("convolve", "convolution"), ("butter", "Butterworth filter"), ("bootstrap", "bootstrap resampling"),
+    ("ttest", "t-test"), ("multivariate_normal", "multivariate normal distribution"), ("Categorical(", "categorical distribution"), ("Tokenizer", "tokenisation"), ("word2vec", "word embeddings"), ("GCNConv", "graph convolution"), ("message_passing", "message passing on a graph"),
+    ("vae", "variational autoencoder"), ("discriminator", "adversarial discriminator"), ("diffusion", "diffusion model"), ("q_learning", "Q-learning"), ("replay_buffer", "experience replay"), ("epsilon_greedy", "epsilon-greedy exploration"), ("beam_search", "beam search"),
+    ("early_stopping", "early stopping"), ("mixup", "mixup augmentation"), ("quantize", "quantisation"), ("prune", "pruning"), ("distill", "knowledge distillation"), ("torch.jit", "compiles a model"), ("vmap", "vectorises a function"), ("pmap", "runs a function on several devices"),
 ]
 
 
-def described_operations(code: Column | str, idioms: list[tuple[str, str]] = IDIOMS, whole_words: bool = True) -> Column:
-    """Distinct descriptions of the idioms that the code contains, in the table's order."""
+def idioms_from(table: DataFrame) -> list[tuple[str, str]]:
+    """The rows (seq, pattern, description) of a table of idioms, in order; a table of a few thousand rows, since each is an expression."""
+    return [(r["pattern"], r["description"]) for r in table.orderBy("seq").collect()]
+
+
+def described_operations(code: Column | str, idioms: list[tuple[str, str]] = IDIOMS, whole_words: bool = False) -> Column:
+    """Distinct descriptions of the idioms that the code contains, in any case, in the table's order. With whole_words an idiom must stand
+    as an identifier of its own."""
+
     def hit(pattern: str) -> Column:
         if whole_words:
             return col(code).rlike(rf"(?iu)(?<![\p{{L}}\p{{N}}_])\Q{pattern}\E(?![\p{{L}}\p{{N}}_])")

@@ -59,5 +59,25 @@ def tree(paths: DataFrame, path: str = "path") -> DataFrame:
     return entry.groupBy("parent", "name", "is_dir").agg(F.count("*").alias("files"))
 
 
+def sorted_tree(entries: DataFrame) -> DataFrame:
+    """Entries of `tree` with their place in their directory: directories first, then by name in any case."""
+    order = Window.partitionBy("parent").orderBy(F.desc("is_dir"), F.lower("name"), "name")
+    return entries.withColumn("place", F.row_number().over(order))
+
+
+def recent_queries(queries: DataFrame, owner: str, k: int = 20, chars: int = 200, text: str = "text", at: str = "ts", tie: str = "event_id") -> DataFrame:
+    """The k latest queries of each owner, cut to `chars` characters."""
+    return latest(queries, owner, k, at, tie).withColumn(text, F.left(text, F.lit(chars)))
+
+
+def to_prepare(chunks: DataFrame, text: str = "document") -> DataFrame:
+    """Stored chunks whose answers are worth preparing: all but those that begin with the name of a section that says nothing of code."""
+    from verilume.operators.rules import UNPREPARED
+
+    name = F.regexp_extract(text, r"(?m)^Section:\s*(.+?)(?:\s*\(.*\))?\s*$", 1)
+    bare = F.trim(F.regexp_replace(F.trim(F.lower(name)), r"^\d+\.?\s*", ""))
+    return chunks.filter(~bare.isin(*UNPREPARED))
+
+
 def percent(done: Column, total: Column) -> Column:
     return F.when(total > 0, F.floor(done * 100 / total)).otherwise(0).cast("int")

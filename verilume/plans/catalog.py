@@ -100,7 +100,7 @@ def src02_src03_code_files(spark, sf_dir):
 @query("""WITH p AS (SELECT list_filter(string_split(split_part(regexp_replace(url, '^https?://', ''), '?', 1), '/'), lambda x: x <> '') AS p FROM pages),
 e AS (SELECT p, unnest(range(1, len(p) + 1)) AS d FROM p WHERE len(p) > 0)
 SELECT parent, name, is_dir, count(*) AS files FROM (SELECT array_to_string(p[1:d - 1], '/') AS parent, p[d] AS name, d < len(p) AS is_dir FROM e) GROUP BY ALL""")
-def src14_srt03_tree(spark, sf_dir):
+def src14_tree(spark, sf_dir):
     return state.tree(read(spark, sf_dir, "pages").select(F.substring_index(F.regexp_replace("url", "^https?://", ""), "?", 1).alias("path")))
 
 
@@ -303,7 +303,7 @@ def clm01_pattern_claims(spark, sf_dir):
 
 
 @query(f"WITH c AS ({sql.pattern_claims(_CODE)}) SELECT doc_id, seq, claim_type, text, expected_value FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, claim_type, expected_value ORDER BY len(string_split(keywords, '|')) DESC, length(text) DESC, seq) AS n FROM c) WHERE n = 1")
-def clm04_clm07_distinct_claims(spark, sf_dir):
+def clm04_distinct_claims(spark, sf_dir):
     return audit.distinct_claims(audit.pattern_claims(_code(spark, sf_dir), text="content")).select("doc_id", "seq", "claim_type", "text", "expected_value")
 
 
@@ -325,38 +325,16 @@ def _behaviours(spark, sf_dir):
     return audit.behaviours(chunks)
 
 
-@query()
-def beh03_beh05_behaviours(spark, sf_dir):
-    b = _behaviours(spark, sf_dir)
-    return b.select("chunk_id", "behavior_type", "description", "actual_value", F.to_json("extracted_values").alias("extracted_values"))
-
-
 @query(sql.lint_flags(_CODE))
 def cat01_cat03_lint_flags(spark, sf_dir):
     return audit.lint_flags(_code(spark, sf_dir), names=sql.FLAT_RULES).select("doc_id", "pattern_type", "category", "tier")
 
 
-@query()
-def cat01_cat07_warnings(spark, sf_dir):
-    files = _code(spark, sf_dir).select(F.concat(F.lit("train/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("relative_path"), "content")
-    return audit.with_remedies(audit.distinct_warnings(audit.lint(files))).drop("seq")
-
-
 def _claims(spark, sf_dir):
     c = audit.pattern_claims(_code(spark, sf_dir), text="content")
     return c.filter(f"doc_id % {QUERY_STEP} = 0").withColumn("claim_id", F.col("doc_id") * 100 + F.col("seq"))
 
 
-@query()
-def aln01_matched(spark, sf_dir):
-    return audit.matched(_claims(spark, sf_dir), _behaviours(spark, sf_dir))
-
-
-@query()
-def aln04_aln09_aligned(spark, sf_dir):
-    return audit.aligned(_claims(spark, sf_dir), _behaviours(spark, sf_dir))
-
-
 _NUM = lambda c: f"try_cast(regexp_extract(lower({c}), '(\\d+\\.?\\d*(?:e[+-]?\\d+)?)', 1) AS DOUBLE)"
 
 
@@ -376,7 +354,7 @@ def agg01_agg05_score(spark, sf_dir):
 
 
 @query("SELECT CASE WHEN grouping(event_type) = 0 THEN event_type END AS category, CASE WHEN grouping(tier) = 0 THEN tier END AS tier, count(*) AS n FROM (SELECT event_type, (user_id % 4 + 1)::INTEGER AS tier FROM events) GROUP BY GROUPING SETS ((event_type), (tier))")
-def agg02_agg09_counts(spark, sf_dir):
+def agg02_counts(spark, sf_dir):
     return audit.warning_counts(read(spark, sf_dir, "events").select(F.col("event_type").alias("category"), (F.col("user_id") % 4 + 1).cast("int").alias("tier")))
 
 
@@ -388,11 +366,11 @@ def _audit_pair(spark, sf_dir):
 @query("""WITH d AS (SELECT l_returnflag AS pattern_type, l_partkey::VARCHAR AS relative_path, l_linenumber AS line_start, l_orderkey % 3 AS m FROM lineitem WHERE l_suppkey % 10 <> 0), a AS (SELECT * FROM d WHERE m < 2), b AS (SELECT * FROM d WHERE m > 0)
 SELECT pattern_type, relative_path, line_start, 'new' AS change FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.pattern_type = b.pattern_type AND a.relative_path = b.relative_path AND a.line_start = b.line_start)
 UNION ALL SELECT pattern_type, relative_path, line_start, 'resolved' FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.pattern_type = b.pattern_type AND a.relative_path = b.relative_path AND a.line_start = b.line_start)""")
-def set01_set02_changes(spark, sf_dir):
+def set01_warning_changes(spark, sf_dir):
     return audit.warning_changes(*_audit_pair(spark, sf_dir))
 
 
-_WARN = "SELECT event_id, event_type AS category, 'p' || user_id % 7 AS pattern_type, 'f' || user_id % 20 AS relative_path, (event_id % 30)::INTEGER AS line_start, left(props, 8) AS code_snippet FROM events"
+_WARN = "SELECT event_id, event_type AS category, 'p' || user_id % 7 AS pattern_type, 'f' || user_id % 20 AS relative_path, (event_id % 30)::INTEGER AS line_start, props AS code_snippet FROM events"
 _RECORDS = [("global", "click.p1", None, None, None, "type", None, 1), ("codebase", None, "#", None, None, "hash", "cb", 2), ("codebase", "view.p2", None, "f3", 5, "place", "cb", 3), ("codebase", "view.p3", None, "f3", 5, "other", "no", 4)]
 
 
@@ -401,7 +379,7 @@ SELECT event_id, (category = 'click' AND pattern_type = 'p1') OR md5(trim(regexp
 CASE WHEN category = 'click' AND pattern_type = 'p1' THEN 'type' WHEN md5(trim(regexp_replace(code_snippet, '\\s+', ' ', 'g'))) = h THEN 'hash' END AS suppression_reason FROM w, h""")
 def set04_set05_suppression(spark, sf_dir):
     e = read(spark, sf_dir, "events")
-    w = e.select("event_id", F.col("event_type").alias("category"), F.concat(F.lit("p"), F.col("user_id") % 7).alias("pattern_type"), F.concat(F.lit("f"), F.col("user_id") % 20).alias("relative_path"), (F.col("event_id") % 30).cast("int").alias("line_start"), F.left("props", F.lit(8)).alias("code_snippet"))
+    w = e.select("event_id", F.col("event_type").alias("category"), F.concat(F.lit("p"), F.col("user_id") % 7).alias("pattern_type"), F.concat(F.lit("f"), F.col("user_id") % 20).alias("relative_path"), (F.col("event_id") % 30).cast("int").alias("line_start"), F.col("props").alias("code_snippet"))
     rec = spark.createDataFrame(_RECORDS, "scope string, warning_type string, code_hash string, file_path string, line_start int, user_reason string, codebase_hash string, seq int").withColumn("code_hash", F.when(F.col("code_hash") == "#", F.md5(F.lit('{"k": 1}'))))
     return audit.suppressed(w, rec, "cb").select("event_id", "suppressed", "suppression_reason")
 
@@ -411,12 +389,6 @@ def set07_min_tier(spark, sf_dir):
     return audit.at_most_tier(read(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 4 + 1).cast("int").alias("tier")), 2)
 
 
-@query("SELECT user_id, max(value) AS best, CASE WHEN max(value) - min(value) > 5 THEN 'improved by ' || format('{:.1f}', max(value) - min(value)) ELSE 'changed minimally' END IS NOT NULL AS said FROM events GROUP BY user_id")
-def set03_score_change(spark, sf_dir):
-    e = read(spark, sf_dir, "events").groupBy("user_id").agg(F.max("value").alias("best"), F.min("value").alias("least"))
-    return e.select("user_id", "best", audit.score_change(F.col("least"), F.col("best")).isNotNull().alias("said"))
-
-
 # State
 
 
@@ -486,13 +458,6 @@ def c2q01_c2q08_search_queries(spark, sf_dir):
     return _code(spark, sf_dir).select("doc_id", tx.search_query("content").alias("query"), F.array_join(tx.phrases("content"), "|").alias("phrases"))
 
 
-@query()
-def ans01_references(spark, sf_dir):
-    hits = lex02_lex03_bm25(spark, sf_dir).withColumnRenamed("score", "similarity")
-    said = hits.select("query_id").distinct().withColumn("answer", F.lit('Here: {"references": [{"snippet_id": "snippet_1", "relevance": "0.7", "reason": "same term"}], "summary": "s"}'))
-    return answers.references(said.filter("query_id % 40 = 0"), hits, "doc_id").unionByName(answers.references(said.filter("query_id % 40 != 0").withColumn("answer", F.lit("no json")), hits.filter("query_id % 40 != 0"), "doc_id"))
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid search: BM25 and cosine neighbours, fused by reciprocal rank."""
     return fus01_fus02_hybrid(spark, sf_dir)

@@ -24,12 +24,18 @@ class Completer(Protocol):
 
 def hashed_embedding(text: Column, dim: int = DIM) -> Column:
     """Signed feature hashing of lexical tokens, of length 1 (all zeros without tokens)."""
-    codes = F.transform(lexical_tokens(text), lambda t: F.xxhash64(t))
+    once = lambda x, then: F.get(F.transform(F.array(x), then), F.lit(0))  # noqa: E731  (a lambda's argument is computed once)
     at = lambda h: F.pmod(h, F.lit(dim))
     sign = lambda h: F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(codes, F.lit(0.0), lambda s, h: s + F.when(at(h) == i, sign(h)).otherwise(0.0)))
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(raw, lambda x: (x / F.when(norm == 0, 1.0).otherwise(norm)).cast("float"))
+
+    def counted(codes: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(codes, F.lit(0.0), lambda s, h: s + F.when(at(h) == i, sign(h)).otherwise(0.0)))
+
+    def unit(raw: Column) -> Column:
+        norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
+        return once(norm, lambda n: F.transform(raw, lambda x: (x / F.when(n == 0, 1.0).otherwise(n)).cast("float")))
+
+    return once(once(F.transform(lexical_tokens(text), lambda t: F.xxhash64(t)), counted), unit)
 
 
 def embedded(texts: DataFrame, embedder: Embedder = hashed_embedding, text: str = "text") -> DataFrame:
