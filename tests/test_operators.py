@@ -145,7 +145,7 @@ def test_behaviours_of_whole_documents(spark, tmp_path):
     rows = [(0, f"hidden_size = 77 {filler}", 2), (1, many, 2)]
     spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t, _ in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     got = catalog.queries()["beh03_beh05_behaviours"](spark, str(tmp_path)).collect()
-    said = lambda d: "".join(r.extracted_values for r in got if r.chunk_id.startswith(f"c{d}:"))
+    said = lambda d: "".join(r.description for r in got if r.chunk_id.startswith(f"c{d}:"))
     assert "77" in said(0)
     assert len({r.chunk_id for r in got}) == len(got) and all(f"0.9{i}" in said(1) for i in range(3))
 
@@ -203,9 +203,10 @@ def test_stream_equals_batch(spark, tmp_path):
         d.filter(F.col("doc_id") % 2 == i).write.mode("append").parquet(str(tmp_path / "in"))
     q = ingest.start_indexing(ingest.document_stream(spark, str(tmp_path / "in"), "doc_id long, text string"), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(60)
-    got = spark.read.parquet(str(tmp_path / "out/postings")).select("doc_id", "term", "tf", "dl")
-    want = retrieval.postings(d).select("doc_id", "term", "tf", "dl")
-    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    index = retrieval.postings(d)
+    for name, want in (("postings", index), ("lengths", retrieval.lengths(index))):
+        got = spark.read.parquet(str(tmp_path / "out" / name)).select(want.columns)
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
 
 
 def test_parsed_answers(spark):
@@ -229,3 +230,58 @@ def test_fallback_and_records(spark):
     assert row.suppressed and row.suppression_reason == "fine"
     assert not audit.suppressed(w, audit.without_record(records, 1)).first().suppressed
     assert audit.with_record(none, w, "audit", "x").isEmpty()
+
+
+def test_literals_of_patterns_are_needed():
+    import random
+    import re
+
+    from verilume.operators import rules
+
+    rng = random.Random(3)
+    pieces = ["train_test_split(X, test_size=0.2)", ".fit(", "StandardScaler()", "KFold(n_splits=5)", "x = 1", "lr=0.1", "'lr': 3", "np.random.seed(4)", "\n", "LR = 2", "PCA()", "accuracy_score(y_train", "time", "softmax(x)", "CrossEntropyLoss", "epochs: 7", "'/home/me/x'"]
+    patterns = [r.pattern for r in rules.LINT if r.kind != "ctx"] + [p for ps in rules.VALUES.values() for p in ps] + [p for *_, ps in rules.CLAIMS.values() for p in ps]
+    hits = 0
+    for _ in range(300):
+        text = " ".join(rng.choices(pieces, k=6))
+        for p in patterns:
+            if re.search(p, text, re.I):
+                hits += 1
+                assert all(any(x in text.lower() for x in ways) for ways in audit.needles(p)), (p, text)
+    assert hits > 500
+
+
+def test_stored_index_answers_like_a_fresh_one(spark, tmp_path):
+    d = spark.createDataFrame([(i, f"alpha word{i % 5} getUserName{i % 3} the beta") for i in range(40)] + [(None, "alpha")], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "alpha word1"), (2, "user_name getUserName2"), (3, "nothing")], "query_id long, query string")
+    index = retrieval.LexicalIndex(spark, str(tmp_path / "index"))
+    assert not index.exists()
+    index.write(d)
+    want = {tuple(r) for r in retrieval.bm25(q, d, 5).collect()}
+    assert index.exists() and {tuple(r) for r in index.search(q, 5).collect()} == want and want
+    index.clear()
+    assert not index.exists()
+
+
+def test_plane_index_recall(spark):
+    from verilume.plans import catalog
+
+    exact = {(r.query_id, r.vec_id) for r in catalog.queries()["vec03_vector_search"](spark, "/root/testdata/sf0.01").collect()}
+    found = {(r.query_id, r.vec_id) for r in catalog.queries()["vec03_plane_index"](spark, "/root/testdata/sf0.01").collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
+
+
+def test_vector_search_with_ties_zeros_and_text_keys(spark):
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [2.0, 0.0]), ("c", [0.0, 0.0]), ("d", [0.0, 1.0]), ("e", None)], "vec_id string, embedding array<float>")
+    q = spark.createDataFrame([(1, [3.0, 0.0]), (2, [0.0, 0.0])], "query_id long, embedding array<float>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.similarity) for r in retrieval.vector_search(q, v, 2).collect())
+    assert got == [(1, 1, "a", 1.0), (1, 2, "b", 1.0), (2, 1, "a", None), (2, 2, "b", None)]
+
+
+def test_contained_equals_nested_loop(spark):
+    parts = ["is a Big", "x", "no, such", "one two three", "two", " a ", "e t"]
+    texts = ["This is a big house", "one two three four", "onetwo three", "", "no, such luck", "abc"]
+    p = spark.createDataFrame([(i, t.lower()) for i, t in enumerate(parts)], "i long, _p string")
+    t = spark.createDataFrame([(i, t.lower()) for i, t in enumerate(texts)], "seq long, _t string")
+    want = {(i, j) for i, a in enumerate(parts) for j, b in enumerate(texts) if a.lower() in b.lower()}
+    assert {(r.i, r.seq) for r in retrieval.contained(p, t, "seq").collect()} == want

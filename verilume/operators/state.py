@@ -42,13 +42,17 @@ def cache_key(text: Column | str) -> Column:
 
 def cached_answer(queries: DataFrame, cache: DataFrame, min_chars: int = 20) -> DataFrame:
     """(query_id, seq): the entry of each query: by key, else the first that contains it or that it contains, if both have
-    `min_chars`. Queries are the broadcast side behind a check of their size."""
-    from verilume.operators.retrieval import small
+    `min_chars`. Both ways find their candidates by a word that they must share."""
+    from verilume.operators.retrieval import contained
 
     exact = queries.withColumn("_k", cache_key("query")).join(cache.withColumn("_k", cache_key("text")), "_k").groupBy("query_id").agg(F.min("seq").alias("seq"))
-    rest = queries.join(exact, "query_id", "left_anti").filter(F.length("query") >= min_chars)
-    near = cache.filter(F.length("text") >= min_chars).join(small(rest), F.contains(F.lower("text"), F.lower("query")) | F.contains(F.lower("query"), F.lower("text")))
-    return exact.unionByName(near.groupBy("query_id").agg(F.min("seq").alias("seq")))
+    rest = queries.join(exact, "query_id", "left_anti").filter(F.length("query") >= min_chars).select("query_id", F.lower("query").alias("q"))
+    entries = cache.filter(F.length("text") >= min_chars).select("seq", F.lower("text").alias("t"))
+    inside = contained(rest.withColumnRenamed("q", "_p"), entries.withColumnRenamed("t", "_t"), "seq").select("query_id", "seq")
+    longest = F.broadcast(rest.agg(F.max(F.length("q")).alias("_most")))
+    short = entries.join(longest, F.length("t") <= F.col("_most")).select("seq", F.col("t").alias("_p"))
+    around = contained(short, rest.withColumnRenamed("q", "_t"), "query_id").select("query_id", "seq")
+    return exact.unionByName(inside.unionByName(around).groupBy("query_id").agg(F.min("seq").alias("seq")))
 
 
 def tree(paths: DataFrame, path: str = "path") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from verilume.operators.chunking import line_windows
-from verilume.operators.retrieval import postings
+from verilume.operators.retrieval import lengths, postings
 
 
 def document_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
@@ -20,12 +20,14 @@ def document_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 
 
 def start_indexing(stream: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Write the chunks and postings of every micro-batch under `out`."""
+    """Write the chunks, postings and document lengths of every micro-batch under `out`."""
 
     def index(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         line_windows(batch).write.mode("overwrite").parquet(f"{out}/chunks/batch={batch_id}")
-        postings(batch).write.mode("overwrite").parquet(f"{out}/postings/batch={batch_id}")
+        index = postings(batch)
+        index.write.mode("overwrite").parquet(f"{out}/postings/batch={batch_id}")
+        lengths(index).write.mode("overwrite").parquet(f"{out}/lengths/batch={batch_id}")
         batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(index).option("checkpointLocation", checkpoint)
