@@ -2,6 +2,7 @@
 column, empty and long texts, ties, repeated rows, empty tables, extra columns with clashing names."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -496,3 +497,26 @@ def test_pipeline(spark, tmp_path):
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in rows) == list(range(80)) and all(r.n_tokens > 0 for r in rows)
+
+
+def test_pipeline_stages_in_odd_cases(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    good = [" ".join(words(120, i)) for i in range(60)]
+    d = odd.unionByName(documents(spark, good), allowMissingColumns=True)
+    labels(spark, [(i, 1, 0) for i in range(10, 50)]).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, " ".join(words(30, 999))), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, d, str(tmp_path))
+        assert out.columns == d.columns and 40 <= out.count() <= d.count()
+        assert stage(spark, d.limit(0), str(tmp_path)).count() == 0
+    assert corpus_pipeline.tokens(spark, d, str(tmp_path)).count() == d.count()
+
+
+def test_tables_are_dropped(spark, tmp_path):
+    from verilume.llm import common
+
+    one = common.materialize(spark.range(3), "kept")
+    common.drop(common.materialize(spark.range(5), "gone"))
+    names = os.listdir(common.shared_dir(spark).removeprefix("file://"))
+    assert one.count() == 3 and not [n for n in names if n.startswith("gone")]
