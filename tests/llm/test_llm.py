@@ -59,6 +59,27 @@ def test_shards_are_exact(spark, n, shards):
     assert all(r.size == len(f"text {r.doc_id % 7}") + 1 and r.text_crc32 == zlib.crc32(f"text {r.doc_id % 7}".encode()) for r in rows)
 
 
+def test_sub_groups_give_exact_shards(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CELL_ROWS", 20)
+    monkeypatch.setattr(sharding, "MAX_CELLS", 8)
+    rows = sharding.shard(documents(spark, [f"text {i % 7}" for i in range(1000)]).repartition(3), 4).collect()
+    for s in range(4):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(250))
+    assert len({r.doc_id for r in rows}) == 1000
+
+
+def test_shuffle_is_uniform(spark):
+    """Over many seeds, two rows of one input partition share a shard as often as a uniform permutation says, and slots are even."""
+    d = documents(spark, [f"t{i}" for i in range(24)]).coalesce(2)
+    together, slots = 0, Counter()
+    for seed in range(60):
+        at = {r.doc_id: (r.shard, r.slot) for r in sharding.shard(d, 4, seed).collect()}
+        together += sum(at[i][0] == at[i + 1][0] for i in range(0, 24, 2))
+        slots[at[3]] += 1
+    assert abs(together / (60 * 12) - 5 / 23) < 0.06
+    assert len(slots) > 15 and max(slots.values()) <= 10
+
+
 def test_matrix_margins_and_law(monkeypatch):
     m = sharding.matrix([10, 0, 25, 5], [13, 13, 14], 1)
     assert m.sum(axis=1).tolist() == [10, 0, 25, 5] and m.sum(axis=0).tolist() == [13, 13, 14]
@@ -67,8 +88,13 @@ def test_matrix_margins_and_law(monkeypatch):
     assert abs(np.mean(own) - np.mean(numpy)) < 0.15 and abs(np.var(own) - np.var(numpy)) < 0.35
     monkeypatch.setattr(sharding, "NUMPY_POPULATION", 1)
     assert sharding.matrix([10, 5], [7, 8], 1).sum(axis=0).tolist() == [7, 8]
-    big = sharding._draw(2 * 10**10, 2 * 10**10, 10**6, rng)
-    assert abs(big - 5 * 10**5) < 10**4
+    good, bad, sample = 3 * 10**12, 10**13, 4000
+    big = np.array([sharding._draw(good, bad, sample, rng) for _ in range(1500)])
+    share = good / (good + bad)
+    assert abs(big.mean() - sample * share) < 4 * np.sqrt(sample * share * (1 - share) / 1500)
+    assert 0.88 < big.var() / (sample * share * (1 - share)) < 1.13
+    for n in (10, 300, 10**6):
+        assert float(sharding._log_factorial(n)) == pytest.approx(float(np.sum(np.log(np.arange(1, n + 1)))), rel=1e-12)
 
 
 def test_shards_in_odd_cases(spark, odd):
