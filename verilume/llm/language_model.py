@@ -77,7 +77,7 @@ KEPT = ("doc_id", "lang", "text_hash", "held_out")
 
 def _blob(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -296,6 +296,18 @@ def _by_joins(texts: DataFrame, held_grams: int, size: int) -> DataFrame:
     return out
 
 
+def _pack(key: np.ndarray, gram: np.ndarray, value: np.ndarray) -> bytes:
+    """The three columns in few bytes: grams come in order, so their differences are small."""
+    raw = key.tobytes() + np.diff(gram, prepend=0).tobytes() + value.astype(np.float32).tobytes()
+    return len(gram).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int.from_bytes(blob[:8], "little")
+    raw = pa.decompress(blob[8:], decompressed_size=20 * n, codec="zstd", asbytes=True)
+    return np.frombuffer(raw, np.int64, n), np.cumsum(np.frombuffer(raw, np.int64, n, 8 * n)), np.frombuffer(raw, np.float32, n, 16 * n)
+
+
 def _answers(asked: DataFrame, logp: DataFrame) -> DataFrame:
     """part, blob (numbers of grams, languages and log probabilities) of the parts' grams, several rows for a part."""
 
@@ -305,7 +317,7 @@ def _answers(asked: DataFrame, logp: DataFrame) -> DataFrame:
                 part, key, gram, value = (batch.column(c).to_numpy() for c in ("part", "lang_key", "gram", "logp"))
                 order = np.argsort(part, kind="stable")
                 ids, starts = np.unique(part[order], return_index=True)
-                blobs = [np.concatenate([key[o], gram[o], value[o].view(np.int64)]).tobytes() for o in np.split(order, starts[1:])]
+                blobs = [_pack(key[o], gram[o], value[o]) for o in np.split(order, starts[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(blobs, pa.binary())], ["part", "blob"])
 
     joined = asked.join(logp, ["lang_key", "gram"]).select("part", "lang_key", "gram", "logp").sortWithinPartitions("part")
@@ -316,11 +328,11 @@ class _Table:
     """The answers of one part: log probabilities by language and gram."""
 
     def __init__(self, blobs: list[bytes]):
-        cells = [np.frombuffer(b, np.int64).reshape(3, -1) for b in blobs]
-        key, gram, value = np.concatenate(cells, axis=1) if cells else np.zeros((3, 0), np.int64)
+        cells = [_unpack(b) for b in blobs] or [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+        key, gram, value = (np.concatenate(c) for c in zip(*cells, strict=True))
         langs = np.unique(key)
         self.numbers = {k: i for i, k in enumerate(langs.tolist())}
-        self.lookup = Lookup(gram | (np.searchsorted(langs, key) << (8 * ORDER)), value.view(np.float64).astype(np.float32))
+        self.lookup = Lookup(gram | (np.searchsorted(langs, key) << (8 * ORDER)), value)
 
     def scores(self, batch: pa.RecordBatch) -> pa.RecordBatch:
         offs, tagged, keys, size = _keyed(batch)
