@@ -179,6 +179,7 @@ def layers(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
         d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         cut = counted[k].join(per_language(discounts), "lang_key").select("lang_key", "gram", "c", F.least(d, F.col("c").cast("double")).alias("d"))
         contexts = cut.groupBy("lang_key", F.shiftright("gram", 8).alias("context")).agg(F.sum("c").alias("total"), F.sum("d").alias("left"))
+        contexts = materialize(contexts, f"contexts{k}")
         own = occurring[k].join(cut, ["lang_key", "gram"], "left").withColumn("context", F.shiftright("gram", 8)).withColumn("shorter", _lower("gram", k - 1))
         own = own.join(contexts, ["lang_key", "context"], "left")
         own = own.join(p.select("lang_key", F.col("gram").alias("shorter"), F.col("p").alias("back")), ["lang_key", "shorter"])
@@ -241,7 +242,7 @@ class Model:
     def __init__(self, key: np.ndarray, kind: np.ndarray, gram: np.ndarray, value: np.ndarray):
         langs = np.unique(key)
         self.numbers = {k: i for i, k in enumerate(langs.tolist())}
-        self.lookup = Lookup(gram | (np.searchsorted(langs, key) << (8 * ORDER)) | (kind << 58), value)
+        self.lookup = Lookup(gram | (np.searchsorted(langs, key) << (8 * ORDER)) | (kind.astype(np.int64) << 58), value)
 
     def scores(self, batch: pa.RecordBatch) -> pa.RecordBatch:
         offs, tagged, keys, size = _keyed(batch)
@@ -270,9 +271,9 @@ SCORES = "doc_id long, lang string, text_hash long, held_out boolean, n_bytes lo
 
 
 def _by_broadcast(texts: DataFrame, made: DataFrame, size: int) -> DataFrame:
-    got = made.toArrow()
-    cells = [got[c].to_numpy() for c in ("lang_key", "kind", "gram", "value")]
-    sent = texts.sparkSession.sparkContext.broadcast((cells[0], cells[1].astype(np.int64), cells[2], cells[3].astype(np.float32)))
+    got = made.select("lang_key", F.col("kind").cast("tinyint").alias("kind"), "gram", F.col("value").cast("float").alias("value")).toArrow()
+    sent = texts.sparkSession.sparkContext.broadcast(tuple(got[c].to_numpy() for c in ("lang_key", "kind", "gram", "value")))
+    del got
 
     def run(batches):
         table = None
@@ -283,7 +284,9 @@ def _by_broadcast(texts: DataFrame, made: DataFrame, size: int) -> DataFrame:
                 for i, j in textnum.slices(offs, size):
                     yield table.scores(batch.slice(i, j - i))
 
-    return texts.select(*KEPT, "lang_key", "text").mapInArrow(run, SCORES)
+    out = materialize(texts.select(*KEPT, "lang_key", "text").mapInArrow(run, SCORES), "scores")
+    sent.destroy()
+    return out
 
 
 def _by_joins(texts: DataFrame, held_grams: int, size: int) -> DataFrame:
@@ -366,7 +369,7 @@ def perplexities(texts: DataFrame, held_grams: int = HELD_GRAMS, size: int = SLI
     few = counts.count() <= model_rows and counts.select("lang_key").distinct().count() <= LANGUAGES
     made = materialize(model(counts), "model") if few else None
     if few and made.count() <= model_rows:
-        out = materialize(_by_broadcast(texts, made, size), "scores")
+        out = _by_broadcast(texts, made, size)
     else:
         out = _by_joins(texts, held_grams, size)
     drop(counts, *([made] if few else []))
