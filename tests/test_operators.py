@@ -137,6 +137,54 @@ def test_alignment(spark):
     assert got == {1: ("misaligned", 2), 2: ("aligned", 4), 3: ("unverified", 3)}
 
 
+@pytest.mark.parametrize("classes", [100_000, 7])
+def test_matched_equals_all_pairs(spark, monkeypatch, classes):
+    """Null and repeated fields, copies of claims, repeated words, ties, and claims that share an id; claims in one pass and in several."""
+    import random
+
+    monkeypatch.setattr(audit, "CLASSES", classes)
+    rng = random.Random(3)
+    pick = lambda *x: rng.choice(x)
+    some = lambda n: " ".join(pick("Batch", "size", "batch", "lr", "Größe", "of", "dropout", "0.1", "the", "epochs", "32") for _ in range(n))
+    c = [(i % 40, pick("a", "b", None), pick(some(4), some(2), "learning rate", "", None), pick([some(1), "Batch"], [], [None, "drop out"], None), pick("32", "0.1", "", None, "Batch size")) for i in range(45)]
+    b = [(f"c{i}", i, pick("a", "b", None), pick(some(6), None), pick(some(30), "", None), pick({"batch_size": "32", "epochs": ""}, {"learning_rate": "0.1"}, {}, None)) for i in range(60)]
+    claims = spark.createDataFrame(c * 2, "claim_id long, claim_type string, text string, keywords array<string>, expected_value string")
+    behaviours = spark.createDataFrame(b, "chunk_id string, seq int, behavior_type string, description string, code_snippet string, extracted_values map<string,string>").repartition(3)
+    key = {r.text: r.k for r in claims.select("text", audit.claim_value_key("text").alias("k")).collect()}
+    want = {}
+    for i, kind, text, words, value in c * 2:
+        if text is None or words is None:
+            continue
+        words = [w.lower() for w in [*words, *re.split(r"\s+", text.lower())] if w is not None and len(w) >= 3]
+        for chunk, seq, of, description, snippet, values in b:
+            d, s = description or "", snippet or ""
+            score = 10 * (of is not None and of == kind) + 20 * bool((values or {}).get(key[text])) + sum(2 * (w in d.lower()) + 3 * (w in s.lower()) for w in words)
+            score += bool(value) * (5 * (str(value) in s) + 3 * (str(value) in d))
+            if score > 0:
+                want.setdefault(i, []).append((-score, seq, chunk))
+    want = sorted((i, r, chunk, -minus) for i, found in want.items() for r, (minus, _, chunk) in enumerate(sorted(found)[:5], 1))
+    assert sorted((r.claim_id, r.rank, r.chunk_id, r.score) for r in audit.matched(claims, behaviours).collect()) == want
+
+
+def test_claims_are_scored_once_for_all_copies(spark):
+    b = spark.createDataFrame([("c1", 1, "a", "lr", "lr = 0.1", {"lr": "0.1"})], "chunk_id string, seq int, behavior_type string, description string, code_snippet string, extracted_values map<string,string>")
+    c = spark.range(50).selectExpr("id claim_id", "'a' claim_type", "'the lr' text", "array('lr') keywords", "'0.1' expected_value")
+    plan = audit.matched(c, b)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    assert audit.matched(c, b).count() == 50
+
+
+def test_behaviours_are_read_once(spark):
+    """No pattern stands twice in the plan, none is without a literal that a text must have, and types are as without literals."""
+    c = spark.createDataFrame([("c", "a.py", "lr = 0.1 " + "x" * 60), ("d", "a.py", "LR: 2 model.FIT( .fit( .fit (" + "x" * 60), ("e", "a.py", None)], "chunk_id string, relative_path string, content string")
+    b = audit.behaviours(c)
+    plan = b._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?iu)np") == 2  # its match, and whether that is empty
+    assert all(audit.needles(p) for patterns in audit.rules.VALUES.values() for p in patterns)
+    assert {"earning_rate", "lr"} in audit.needles(r"(?:learning_rate|lr)\s*=")
+    assert sorted((r.chunk_id, r.extracted_values["learning_rate"], r.behavior_type) for r in b.collect()) == [("c", "0.1", "implementation_detail"), ("d", "2", "training_procedure")]
+
+
 def test_behaviours_of_whole_documents(spark, tmp_path):
     from verilume.plans import catalog
 
