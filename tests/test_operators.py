@@ -62,6 +62,38 @@ def test_plane_index_recall(spark):
     assert exact.join(near, ["query_id", "vec_id"], "left_semi").count() >= 0.9 * exact.count()
 
 
+@pytest.mark.parametrize(("queries", "bucketed"), [(65_536, 8_192), (3, 16)])
+def test_plane_index_equals_its_buckets(spark, monkeypatch, queries, bucketed):
+    """Zero vectors, copies, repeated rows, ties, null keys and vectors; queries in one pass and in several. No pair of vectors is a row of a join."""
+    import numpy as np
+
+    monkeypatch.setattr(retrieval, "QUERIES", queries)
+    monkeypatch.setattr(retrieval, "BUCKETED", bucketed)
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(120)]
+    rows += [(200 + i, rows[7][1]) for i in range(15)] + [(300, [0.0] * 8), (301, None), (None, rows[8][1]), rows[20], rows[20], rows[20]]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    q = spark.createDataFrame([r for r in rows if r[0] is not None and r[0] % 10 in (0, 7)][:24], "query_id long, embedding array<double>").distinct()
+    index = retrieval.PlaneIndex(8, tables=3, bits=4)
+    assert index.index(v).count() == 3 * sum(e is not None for _, e in rows)
+    codes = lambda e: (np.array(e) @ index.planes >= 0).reshape(3, 4)
+    want = []
+    for i, e in {r.query_id: r.embedding for r in q.collect()}.items():
+        if e is None:
+            continue
+        near = set()
+        for j, f in rows:
+            if f is not None and ((codes(e) != codes(f)).sum(axis=1) <= 1).any():
+                size = np.linalg.norm(e) * np.linalg.norm(f)
+                near.add((j, round(float(np.dot(e, f) / size), 6) if size else None))
+        order = sorted(near, key=lambda x: (x[1] is None, -(x[1] or 0), x[0] is not None, x[0] or 0))[:5]
+        want += [(i, rank, *x) for rank, x in enumerate(order, 1)]
+    found = index.search(q, v, 5)
+    got = sorted((r.query_id, r.rank, r.vec_id, None if r.similarity is None else round(r.similarity, 6)) for r in found.collect())
+    assert got == sorted(want, key=lambda x: x[:2])
+    assert "Generate" not in found._jdf.queryExecution().toString()
+
+
 def test_plans(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     phrases = spark.createDataFrame([(1, 1, "long phrase")], "query_id long, phrase_no long, phrase string")
