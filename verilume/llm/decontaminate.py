@@ -74,9 +74,10 @@ def _windows(df: DataFrame, sizes: list[int], *keys: str) -> DataFrame:
     near = df.select(*keys, _hashes(F.col("tokens")).alias("_h"))
     shifted = [F.slice("_h", i + 1, F.greatest(F.size("_h") - i, F.lit(0))).alias(f"h{i}") for i in range(most)]
     each = near.select(*keys, F.posexplode(F.arrays_zip(*shifted)).alias("at", "z"))
-    word = [F.col("z")[f"h{i}"] for i in range(most)]
-    name = F.xxhash64(F.lit(f"{OPEN}name")).bitwiseAND(F.lit(-2).cast("long"))
-    either = [F.when(w.bitwiseAND(F.lit(1).cast("long")) == 1, name).otherwise(w) for w in word]
+    marked, even = [F.col("z")[f"h{i}"] for i in range(most)], F.lit(-2).cast("long")
+    word = [w.bitwiseAND(even) for w in marked]  # the same word inside a sentence is even
+    name = F.xxhash64(F.lit(f"{OPEN}name")).bitwiseAND(even)
+    either = [F.when(w.bitwiseAND(F.lit(1).cast("long")) == 1, name).otherwise(w) for w in marked]
     made = []
     for size in sizes:
         as_words, as_names = (F.xxhash64(F.lit(size), *side[:size]) for side in (word, either))
