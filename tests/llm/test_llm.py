@@ -330,6 +330,19 @@ def test_components_equal_brute_force(spark):
     assert sorted(r.doc_id for r in kept) == [i for i, c in enumerate(want) if i == c]
 
 
+def test_few_links_take_few_stages_and_name_the_same(spark):
+    rng = random.Random(11)
+    keys = [bytes(rng.choice([0, 0, 1, 127, 128, 255]) if rng.random() < 0.5 else rng.randrange(256) for _ in range(16)) for _ in range(400)]
+    for links in ([], [(keys[i], keys[i + 1]) for i in range(60)] + [(rng.choice(keys), rng.choice(keys)) for _ in range(150)]):
+        edges = spark.createDataFrame(links, "a binary, b binary")
+        scheduler = spark.sparkContext._jsc.sc().dagScheduler()
+        before = scheduler.nextStageId()
+        few = minhash.components(edges)
+        assert scheduler.nextStageId() - before <= 6  # tasks that read next to nothing stay in the driver's memory, too
+        found, joined = ([(bytes(r.node), bytes(r.label)) for r in labels.collect()] for labels in (few, minhash.components(edges, few=-1)))
+        assert sorted(found) == sorted(joined)
+
+
 def test_thresholds_of_stage_and_query(spark):
     import corpus_pipeline
 

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from verilume.llm import textnum
 from verilume.llm.common import drop, map_texts, materialize
@@ -33,6 +34,8 @@ BINS, ROWS, BANDS = 128, 5, 25
 LOOKUP_ROWS = 500_000
 #: Members of a bucket that are compared with each other in one place.
 BLOCK = 128
+#: Links whose components are found on the driver (some 40 bytes each there, and as much for a node); more are labelled by joins.
+DRIVER_EDGES = 200_000
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,8 +112,32 @@ def shingle_sets(docs: DataFrame, k: int = 5) -> DataFrame:
     return map_texts(docs.select("text"), build, "key binary, shingles array<long>")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, label (its component's smallest node) for the undirected edges (a, b): minima of neighbours and pointer jumping."""
+def _least(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the smallest of its component under the edges (a, b)."""
+    label = np.arange(n)
+    while len(open_ := np.flatnonzero(label[a] != label[b])):
+        a, b = label[a[open_]], label[b[open_]]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while ((jumped := label[label]) != label).any():
+            label = jumped
+    return label
+
+
+def _few_components(edges: DataFrame) -> DataFrame:
+    """`components` of edges that the driver holds."""
+    found, n = edges.select("a", "b").toArrow().combine_chunks(), edges.schema["a"].dataType
+    nodes = pa.compute.unique(pa.chunked_array([*found["a"].chunks, *found["b"].chunks], found.schema.field("a").type))
+    nodes = nodes.take(pa.compute.sort_indices(nodes))
+    a, b = (pa.compute.index_in(found[c], nodes).to_numpy() for c in "ab")
+    out = pa.table({"node": nodes, "label": nodes.take(pa.array(_least(a, b, len(nodes))))})
+    return materialize(edges.sparkSession.createDataFrame(out, StructType().add("node", n).add("label", n)), "labels")
+
+
+def components(edges: DataFrame, few: int = DRIVER_EDGES) -> DataFrame:
+    """node, label (its component's smallest node) for the undirected edges (a, b). Up to `few` of them go to the driver: by joins each round
+    is nine stages of as many tasks as a shuffle has partitions, however little they read. Beyond: minima of neighbours and pointer jumping."""
+    if edges.count() <= few:
+        return _few_components(edges)
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
     while True:
