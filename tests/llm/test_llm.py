@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from verilume.llm import bpe, chat, decontaminate, html_text, language_model, minhash, quality_rules, sharding, textnum, toxicity
+from verilume.llm import bpe, chat, common, decontaminate, html_text, language_model, minhash, quality_rules, sharding, textnum, toxicity
 from verilume.llm.queries import tokenizer_path
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -395,6 +395,24 @@ def test_bpe_equals_the_library(spark, odd):
     assert bpe.decode(bpe.encode(odd, path), path).count() == odd.count() and bpe.encode(odd.limit(0), path).count() == 0
 
 
+def test_workers_keep_one_operators_stores(spark):
+    """A worker that encoded keeps its encoder for more of that, and gives it back when another operator's task begins."""
+    docs = documents(spark, [" ".join(words(300, i)) for i in range(40)]).repartition(4)
+
+    def run(batch):
+        import gc
+
+        yield pa.RecordBatch.from_arrays([pa.array([sum(type(x).__name__ == "Encoder" for x in gc.get_objects())] * batch.num_rows)], ["n"])
+
+    for _ in range(2):
+        bpe.encode(docs, tokenizer_path()).collect()
+        assert {r.n for r in common.map_texts(docs, run, "n long").collect()} == {0}
+
+    coder = bpe.worker(tokenizer_path())
+    assert list(common.step(iter, "bpe")([])) == [] and bpe.worker(tokenizer_path()) is coder
+    assert list(common.step(iter)([])) == [] and bpe.worker(tokenizer_path()) is not coder
+
+
 def test_chunks_are_reused_and_repaired():
     coder = bpe.Encoder(tokenizer_path())
     shared = " ".join(words(4000, 3))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verilume.llm import textnum
-from verilume.llm.common import map_texts
+from verilume.llm.common import kept, map_texts, step
 
 WINDOW, MASK_BITS = 16, 11
 #: Bounds of a worker's memory, in bytes: the stores of words, bare words and chunks; what an entry takes besides its key and value.
@@ -36,7 +36,6 @@ TAIL = b".,!|%$#*&;:?"
 
 _STEP = 0x9E3779B97F4A7C15
 _GEAR = textnum.mix(np.arange(1, 257, dtype=np.uint64))
-_workers: dict[str, Encoder] = {}
 
 
 def cuts(buf: np.ndarray) -> np.ndarray:
@@ -214,9 +213,10 @@ class Encoder:
 
 
 def worker(path: str) -> Encoder:
-    if path not in _workers:
-        _workers[path] = Encoder(path)
-    return _workers[path]
+    encoders = kept("bpe", dict)
+    if path not in encoders:
+        encoders[path] = Encoder(path)
+    return encoders[path]
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -226,7 +226,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         ids = worker(path).encode(*textnum.text_bytes(batch.column("text")))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return map_texts(docs.select("doc_id", "text"), run, "doc_id long, ids binary", limit=BATCH)
+    return map_texts(docs.select("doc_id", "text"), run, "doc_id long, ids binary", limit=BATCH, owner="bpe")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -237,7 +237,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             texts = [worker(path).decode(x.as_py() or b"") for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded string")
+    return encoded.select("doc_id", "ids").mapInArrow(step(run, "bpe"), "doc_id long, ids binary, decoded string")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -249,7 +249,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         texts = pa.array([coder.decode(x) for x in ids], pa.string())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary()), texts], ["doc_id", "ids", "decoded"])
 
-    return map_texts(docs.select("doc_id", "text"), run, "doc_id long, ids binary, decoded string", limit=BATCH)
+    return map_texts(docs.select("doc_id", "text"), run, "doc_id long, ids binary, decoded string", limit=BATCH, owner="bpe")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,6 +19,7 @@ from verilume.llm import textnum
 BATCH_BYTES = 4 << 20
 
 _own: dict[str, str] = {}
+_kept: dict[str, object] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,8 +52,44 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: StructType | str, text: str = "text", limit: int = BATCH_BYTES) -> DataFrame:
-    """mapInArrow over sub-batches of at most `limit` bytes of the column `text`."""
+def kept(owner: str, make: Callable[[], object]):
+    """What this worker keeps from task to task for the operator `owner`; `make()` at first. Only the last operator's is kept."""
+    if owner not in _kept:
+        _kept.clear()
+        _kept[owner] = make()
+    return _kept[owner]
+
+
+def begin(owner: str) -> None:
+    """A task of `owner` begins in this worker: what it kept for other operators goes."""
+    if _kept and owner not in _kept:
+        _kept.clear()
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory, which Arrow and the C library hold for later, back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def step(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], owner: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` for mapInArrow. Workers live on from stage to stage, so it begins without what other operators than `owner` kept, and ends with
+    free memory given back."""
+
+    def stepped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(owner)
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return stepped
+
+
+def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: StructType | str, text: str = "text", limit: int = BATCH_BYTES, owner: str = "") -> DataFrame:
+    """mapInArrow over sub-batches of at most `limit` bytes of the column `text`. owner: the operator, if it keeps anything in workers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,7 +98,7 @@ def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
                 for i, j in textnum.slices(offs, limit):
                     yield from fn(batch.slice(i, j - i))
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(step(run, owner), schema)
 
 
 def text_digest(text: Column | str) -> Column:

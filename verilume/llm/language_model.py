@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verilume.llm import textnum
-from verilume.llm.common import drop, materialize
+from verilume.llm.common import drop, materialize, step
 
 ORDER, BYTE = 5, 256
 QUANTILE, MARGIN, HOLD_OUT = 0.999, 1.2, 5
@@ -143,7 +143,7 @@ def parts(texts: DataFrame, held_grams: int = HELD_GRAMS, size: int = SLICE, wit
                     seq, held = seq + 1, _Grams()
         yield from end()
 
-    return texts.select(*KEPT, "lang_key", "trusted", "text").mapInArrow(run, PARTS)
+    return texts.select(*KEPT, "lang_key", "trusted", "text").mapInArrow(step(run), PARTS)
 
 
 def gram_counts(made: DataFrame) -> DataFrame:
@@ -284,7 +284,7 @@ def _by_broadcast(texts: DataFrame, made: DataFrame, size: int) -> DataFrame:
                 for i, j in textnum.slices(offs, size):
                     yield table.scores(batch.slice(i, j - i))
 
-    out = materialize(texts.select(*KEPT, "lang_key", "text").mapInArrow(run, SCORES), "scores")
+    out = materialize(texts.select(*KEPT, "lang_key", "text").mapInArrow(step(run), SCORES), "scores")
     sent.destroy()
     return out
 
@@ -294,7 +294,7 @@ def _by_joins(texts: DataFrame, held_grams: int, size: int) -> DataFrame:
     counts = materialize(gram_counts(made), "grams")
     answers = _answers(made.filter("n is not null").select("part", "lang_key", "gram"), probabilities(counts))
     both = answers.withColumn("is_text", F.lit(False)).select("part", "is_text", "blob").union(made.filter("blob is not null").select("part", F.lit(True), "blob"))
-    out = materialize(both.repartition("part").sortWithinPartitions("part", "is_text").mapInArrow(_scored, SCORES), "scores")
+    out = materialize(both.repartition("part").sortWithinPartitions("part", "is_text").mapInArrow(step(_scored), SCORES), "scores")
     drop(made, counts)
     return out
 
@@ -324,7 +324,7 @@ def _answers(asked: DataFrame, logp: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(blobs, pa.binary())], ["part", "blob"])
 
     joined = asked.join(logp, ["lang_key", "gram"]).select("part", "lang_key", "gram", "logp").sortWithinPartitions("part")
-    return joined.mapInArrow(run, "part long, blob binary")
+    return joined.mapInArrow(step(run), "part long, blob binary")
 
 
 class _Table:

@@ -43,6 +43,8 @@ COVERAGE, CUTOFF, MIN_ROWS = 0.75, 0.9999, 50
 STARTS, TOLERANCE, BINS_PER_OCTAVE = 5, 1e-4, 64
 #: Groups whose models are broadcast (about 200 bytes for each start of one); more are joined by a shuffle.
 LOOKUP_GROUPS = 50_000
+#: Bytes of text at a time; counting takes some 40 times as much memory.
+BATCH = 1 << 20
 
 
 def counts(buf: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
@@ -86,7 +88,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), *[pa.array(c.astype(np.int64)) for c in made]], ["doc_id", "lang", "source", "text_hash", *COUNTS])
 
     picked = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string"))
-    made = map_texts(picked, run, "doc_id long, lang string, source string, text_hash long, " + ", ".join(f"{c} long" for c in COUNTS))
+    made = map_texts(picked, run, "doc_id long, lang string, source string, text_hash long, " + ", ".join(f"{c} long" for c in COUNTS), limit=BATCH)
     return made.withColumn("base_failed", failed())
 
 
