@@ -474,6 +474,19 @@ def test_perplexities_equal_brute_force(spark, held, size, most):
         assert got[i] is None if not grams else got[i] == pytest.approx(np.exp(-np.mean([np.log(p(g)) for g in grams])), rel=1e-4)
 
 
+def test_a_small_model_takes_few_stages_and_says_the_same(spark):
+    rows = [(lang, int.from_bytes(rng.choices(b"abcd", k=5), "big"), rng.choice([1, 1, 1, 2, 3, 9])) for lang, rng in ((lang, random.Random(lang)) for lang in (-3, 0, 7)) for _ in range(100 * abs(lang) + 1)]
+    counts = spark.createDataFrame(rows, "lang_key long, gram long, n long").groupBy("lang_key", "gram").agg(F.sum("n").alias("n"))
+    scheduler = spark.sparkContext._jsc.sc().dagScheduler()
+    before = scheduler.nextStageId()
+    got = language_model.model(counts).collect()
+    assert scheduler.nextStageId() - before <= 6  # each order's tables and joins were some hundred
+    asked = {(r.lang_key, r.gram): r.logp for r in language_model.probabilities(counts).collect()}
+    assert {(r.lang_key, r.gram): r.value for r in got if r.kind == language_model.ORDER - 1} == pytest.approx(asked) and len(asked) > 500
+    contexts = {(r.lang_key, r.gram) for r in got if r.kind == 2 * language_model.ORDER - 1}
+    assert contexts == {(key, gram >> 8) for key, gram in asked}
+
+
 def test_quality_classifier_rejects_noise(spark, odd):
     rng = random.Random(0)
     good = [" ".join(words(80, i)) for i in range(60)]

@@ -159,9 +159,8 @@ def _lower(gram: str, order: int) -> Column:
 LEAST = 1e-12
 
 
-def layers(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """For each order from 1 to ORDER: lang_key, gram, p of the grams in `counts`, and lang_key, context, weight (for grams of the context that
-    trusted texts don't have); languages without trusted text are left out."""
+def probabilities(counts: DataFrame) -> DataFrame:
+    """lang_key, gram, logp for every gram in `counts`; languages without trusted text are left out."""
     counted = {ORDER: counts.filter("n > 0").select("lang_key", "gram", F.col("n").alias("c"))}
     occurring = {ORDER: counts.select("lang_key", "gram")}
     for k in range(ORDER - 1, 0, -1):
@@ -169,7 +168,6 @@ def layers(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
         occurring[k] = occurring[k + 1].select("lang_key", _lower("gram", k).alias("gram")).distinct()
     per_language = F.broadcast if counted[1].select("lang_key").distinct().count() <= LANGUAGES else (lambda x: x)
     p = occurring[1].join(counted[1].select("lang_key").distinct(), "lang_key", "left_semi").select("lang_key", F.lit(0).cast("long").alias("gram"), F.lit(1.0 / BYTE).alias("p")).distinct()
-    out = []
     for k in range(1, ORDER + 1):
         n = [F.count_if(F.col("c") == i) for i in (1, 2, 3, 4)]
         y = n[0] / (n[0] + 2 * n[1])
@@ -185,23 +183,67 @@ def layers(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
         own = own.join(p.select("lang_key", F.col("gram").alias("shorter"), F.col("p").alias("back")), ["lang_key", "shorter"])
         p = own.select("lang_key", "gram", F.coalesce((F.coalesce(F.col("c") - F.col("d"), F.lit(0.0)) + F.col("left") * F.col("back")) / F.col("total"), F.col("back")).alias("p"))
         p = materialize(p, f"p{k}")
-        out.append((p, contexts.select("lang_key", "context", (F.col("left") / F.col("total")).alias("weight"))))
-    return out
+    return p.select("lang_key", "gram", F.log(F.greatest("p", F.lit(LEAST))).alias("logp"))
 
 
-def probabilities(counts: DataFrame) -> DataFrame:
-    """lang_key, gram, logp for every gram in `counts`."""
-    return layers(counts)[-1][0].select("lang_key", "gram", F.log(F.greatest("p", F.lit(LEAST))).alias("logp"))
+MODEL = "lang_key long, kind int, gram long, value double"
+
+
+def _discounts(c: np.ndarray) -> np.ndarray:
+    """What is taken off each of the counts `c` of one order and language."""
+    n = [np.count_nonzero(c == i) for i in (1, 2, 3, 4)]
+    d = [0.5, 1.0, 1.5]
+    for i in range(3):
+        if n[0] and n[i]:
+            d[i] = min(max(i + 1 - (i + 2) * n[0] / (n[0] + 2 * n[1]) * n[i + 1] / n[i], 0.0), i + 1.0)
+    return np.minimum(np.array(d)[np.minimum(c, 3) - 1], c)
+
+
+def _language(gram: np.ndarray, n: np.ndarray):
+    """kind, grams, values of one language's model, order by order; probabilities as `probabilities` has them."""
+    counted = {ORDER: (gram[order := np.argsort(gram)], n[order])}
+    for k in range(ORDER - 1, 0, -1):
+        counted[k] = np.unique(counted[k + 1][0] & (BYTE**k - 1), return_counts=True)
+    shorter, back = np.zeros(1, np.int64), np.full(1, 1.0 / BYTE)
+    for k in range(1, ORDER + 1):
+        own, c = counted.pop(k)
+        d = _discounts(c)
+        contexts, at = np.unique(own >> 8, return_inverse=True)
+        total, left = np.bincount(at, c), np.bincount(at, d)
+        back = (c - d + left[at] * back[np.searchsorted(shorter, own & (BYTE ** (k - 1) - 1))]) / total[at]
+        shorter = own
+        yield k - 1, own, np.log(np.maximum(back, LEAST))
+        yield ORDER + k - 1, contexts, np.log(np.maximum(left / total, LEAST))
 
 
 def model(counts: DataFrame) -> DataFrame:
-    """lang_key, kind, gram, value: log probabilities (kind: order - 1) and log weights of contexts (kind: ORDER + order - 1)."""
-    out = None
-    for k, (p, contexts) in enumerate(layers(counts)):
-        own = p.select("lang_key", F.lit(k).alias("kind"), "gram", F.log(F.greatest("p", F.lit(LEAST))).alias("value"))
-        own = own.union(contexts.select("lang_key", F.lit(ORDER + k), "context", F.log(F.greatest("weight", F.lit(LEAST)))))
-        out = own if out is None else out.union(own)
-    return out
+    """MODEL: log probabilities (kind: order - 1) and log weights of contexts (kind: ORDER + order - 1). One task has a language's rows, so
+    `counts` must be few; a table and a join for each step of each order would be some fifty shuffles for them."""
+
+    def run(batches):
+        def end():
+            for kind, grams, value in _language(*(np.concatenate(x) for x in held)):
+                m = len(grams)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, key)), pa.array(np.full(m, kind, np.int32)), pa.array(grams), pa.array(value)], ["lang_key", "kind", "gram", "value"])
+
+        key, held = None, ([], [])
+        for batch in batches:
+            keys, gram, n = (batch.column(c).to_numpy() for c in ("lang_key", "gram", "n"))
+            edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                if i == j:
+                    continue
+                if keys[i] != key:
+                    if held[0]:
+                        yield from end()
+                    key, held = keys[i], ([], [])
+                held[0].append(gram[i:j].copy())
+                held[1].append(n[i:j].copy())
+        if held[0]:
+            yield from end()
+
+    rows = counts.filter("n > 0").select("lang_key", "gram", "n")
+    return rows.repartition("lang_key").sortWithinPartitions("lang_key").mapInArrow(step(run), MODEL)
 
 
 class Lookup:
