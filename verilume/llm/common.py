@@ -45,11 +45,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Delete what `materialize` wrote for these frames; nothing may read them after."""
+    """Delete what `materialize` wrote for these frames; nothing may read them after. Spark deletes the shuffle files of ended queries when the
+    driver's JVM collects their plans, which a mostly idle driver may not do for long; so it is asked to."""
     for df in tables:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def kept(owner: str, make: Callable[[], object]):
