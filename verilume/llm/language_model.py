@@ -2,7 +2,7 @@
 
 A gram is a number: its bytes, the oldest first, so that a context is gram >> 8 and the next lower order a mask. Trusted texts are counted
 in parts, whose sums are the table (lang_key, gram, n). Each order's counts (raw at the top, distinct left extensions below), discounts,
-context sums and probabilities come from joins that are sharded by language and gram.
+context sums and probabilities come from joins that are sharded by language and gram; few counts become the model in one pass per language.
 
 Scoring has two ways with the same results. The model itself is the probabilities of the grams seen in trusted texts and the weights
 of their contexts for what was not seen; while that has at most MODEL_ROWS rows (counted first) it is broadcast, and one scan scores all
